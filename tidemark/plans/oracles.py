@@ -23,4 +23,41 @@ FROM (SELECT *, 1 AS i FROM a) a FULL JOIN (SELECT *, 1 AS i FROM b) b USING (ge
 WHERE a.i IS NULL OR b.i IS NULL OR a.v IS DISTINCT FROM b.v
 """
 
-ORACLES = {"p1_found": P1}
+_VALID = """
+a AS (SELECT security_id, date, arg_max(row(close, volume), row(coalesce(source_asof, DATE '0001-01-01'), ingestion_run_id)) AS v
+  FROM coverage_bars WHERE security_id IS NOT NULL AND date IS NOT NULL GROUP BY ALL),
+v AS (SELECT security_id, date, v[1] AS close, v[2] AS volume FROM a
+  WHERE isfinite(v[1]) AND isfinite(v[2]) AND v[1] > 0 AND v[2] >= 0)
+"""
+
+P2 = f"""
+WITH {_VALID},
+e AS (SELECT DISTINCT date, security_id, adv20_usd, valid_sessions_20d, (SELECT max(session_no) FROM trading_sessions WHERE session_date <= date) AS no
+  FROM eligibility_audit),
+b AS (SELECT security_id, session_no, close * volume AS usd FROM v JOIN trading_sessions ON date = session_date),
+t AS (SELECT e.date, e.security_id, any_value(adv20_usd) AS stored, any_value(valid_sessions_20d) AS n, count(usd) AS m, avg(usd) AS mean
+  FROM e LEFT JOIN b ON b.security_id = e.security_id AND session_no BETWEEN no - 19 AND no GROUP BY ALL)
+SELECT strftime(date, '%Y-%m-%d') AS audit_date, security_id FROM t
+WHERE n IS DISTINCT FROM m OR (stored IS NULL) <> (mean IS NULL) OR abs(stored - mean) > 0.002 * abs(mean)
+"""
+
+P2_TOTALS = f"""
+WITH {_VALID},
+x AS (SELECT security_id, date, CAST(volume AS DECIMAL(38,6)) AS volume, CAST(close * volume AS DECIMAL(38,6)) AS usd, session_no AS no
+  FROM v LEFT JOIN trading_sessions ON date = session_date),
+d AS (SELECT security_id, CAST(unnest(generate_series(min(date), max(date), INTERVAL 1 DAY)) AS DATE) AS day FROM v GROUP BY 1),
+n AS (SELECT *, (SELECT max(session_no) FROM trading_sessions WHERE session_date <= day) AS no FROM d),
+t7 AS (SELECT security_id, day, count(volume) AS n, sum(volume) AS volume, sum(usd) AS usd FROM n LEFT JOIN x USING (security_id)
+  WHERE date BETWEEN day - 6 AND day GROUP BY ALL),
+t30 AS (SELECT security_id, day, count(volume) AS n, sum(volume) AS volume, sum(usd) AS usd FROM n LEFT JOIN x USING (security_id)
+  WHERE date BETWEEN day - 29 AND day GROUP BY ALL),
+t20 AS (SELECT n.security_id, day, count(volume) AS n, sum(volume) AS volume, sum(usd) AS usd FROM n JOIN x ON x.security_id = n.security_id
+  AND x.no BETWEEN n.no - 19 AND n.no GROUP BY ALL)
+SELECT security_id, strftime(day, '%Y-%m-%d') AS day,
+  coalesce(t7.n, 0) AS n_d7, CAST(t7.volume AS DOUBLE) AS volume_d7, CAST(t7.volume AS DOUBLE) / t7.n AS mean_volume_d7, CAST(t7.usd AS DOUBLE) AS usd_d7, CAST(t7.usd AS DOUBLE) / t7.n AS mean_usd_d7,
+  coalesce(t30.n, 0) AS n_d30, CAST(t30.volume AS DOUBLE) AS volume_d30, CAST(t30.volume AS DOUBLE) / t30.n AS mean_volume_d30, CAST(t30.usd AS DOUBLE) AS usd_d30, CAST(t30.usd AS DOUBLE) / t30.n AS mean_usd_d30,
+  coalesce(t20.n, 0) AS n_s20, CAST(t20.volume AS DOUBLE) AS volume_s20, CAST(t20.volume AS DOUBLE) / t20.n AS mean_volume_s20, CAST(t20.usd AS DOUBLE) AS usd_s20, CAST(t20.usd AS DOUBLE) / t20.n AS mean_usd_s20
+FROM d LEFT JOIN t7 USING (security_id, day) LEFT JOIN t30 USING (security_id, day) LEFT JOIN t20 USING (security_id, day)
+"""
+
+ORACLES = {"p1_found": P1, "p2_found": P2, "p2_totals": P2_TOTALS}

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators import snapshots
+from tidemark.operators import rolling, snapshots
+from tidemark.operators.bars import accepted
+from tidemark.scale import broadcast_if_bounded, finite
 from tidemark.sources.tables import load
 
 MASTER_COLUMNS = (
@@ -36,4 +38,67 @@ def p1_found(spark: SparkSession, at: str) -> DataFrame:
     )
 
 
-QUERIES = {"p1_found": p1_found}
+DELIVERY = ("source_asof", "ingestion_run_id")
+
+
+def _valid_bars(spark: SparkSession, at: str) -> DataFrame:
+    """Accepted bars with a usable close and volume: security_id, date, close, volume."""
+    bars = load(spark, at, "coverage_bars", "security_id", "date", "close", "volume", *DELIVERY)
+    best = accepted(bars, ("security_id", "date"), DELIVERY, ("close", "volume"))
+    close, volume = F.col("close"), F.col("volume")
+    return best.where(finite(close) & finite(volume) & (close > 0) & (volume >= 0))
+
+
+def p2_found(spark: SparkSession, at: str) -> DataFrame:
+    """Audit rows whose 20-session figures disagree with the accepted bars."""
+    sessions = load(spark, at, "trading_sessions", "session_date", "session_no").dropna().dropDuplicates(["session_date"])
+    calendar = broadcast_if_bounded(sessions)
+    valid = _valid_bars(spark, at).join(calendar, F.col("date") == F.col("session_date"))
+    amounts = rolling.daily_amounts(valid, "security_id", F.col("session_no"), {"usd": F.col("close") * F.col("volume")})
+    audit = load(spark, at, "eligibility_audit", "date", "security_id", "adv20_usd", "valid_sessions_20d").dropna(subset=["date", "security_id"])
+    days = audit.select("date").distinct().join(calendar, F.col("session_date") <= F.col("date"), "left").groupBy("date").agg(F.max("session_no").alias("_pos"))
+    requests = audit.distinct().join(broadcast_if_bounded(days, sessions), "date").select(
+        F.col("security_id").alias("_entity"), F.coalesce("_pos", F.lit(0)).alias("_pos"), "date", "adv20_usd", "valid_sessions_20d"
+    )
+    totals = rolling.trailing_totals(amounts, requests, {"s20": 20}, ["usd"])
+    mean = F.col("usd_s20").cast("double") / F.nullif(F.col("n_s20"), F.lit(0))
+    stored = F.when(finite(F.col("adv20_usd")), F.col("adv20_usd"))
+    wrong = (
+        ~F.col("valid_sessions_20d").eqNullSafe(F.col("n_s20"))
+        | (stored.isNull() != F.col("_mean").isNull())
+        | F.coalesce(F.abs(stored - F.col("_mean")) > 0.002 * F.abs("_mean"), F.lit(False))
+    )
+    return totals.withColumn("_mean", mean).where(wrong).select(F.date_format("date", "yyyy-MM-dd").alias("audit_date"), F.col("_entity").alias("security_id")).distinct()
+
+
+def p2_totals(spark: SparkSession, at: str) -> DataFrame:
+    """For each security and calendar day from its first valid bar to its last: totals of 7 and 30 days and 20 sessions."""
+    sessions = load(spark, at, "trading_sessions", "session_date", "session_no").dropna().dropDuplicates(["session_date"])
+    calendar = broadcast_if_bounded(sessions)
+    valid = _valid_bars(spark, at)
+    measures = {"volume": F.col("volume"), "usd": F.col("close") * F.col("volume")}
+    span = valid.groupBy("security_id").agg(F.min("date").alias("_from"), F.max("date").alias("_to"))
+    days = span.select(F.col("security_id").alias("_entity"), F.explode(F.sequence("_from", "_to")).alias("day"))
+    by_day = rolling.trailing_totals(
+        rolling.daily_amounts(valid, "security_id", F.unix_date("date"), measures),
+        days.select("_entity", F.unix_date("day").cast("int").alias("_pos"), "day"),
+        {"d7": 7, "d30": 30},
+        list(measures),
+    )
+    bound = broadcast_if_bounded(sessions.select(F.col("session_date"), F.col("session_no"), F.lead("session_date").over(Window.orderBy("session_date")).alias("_next")), sessions)
+    session_days = bound.select("session_no", F.explode(F.expr("sequence(session_date, coalesce(date_sub(_next, 1), date_add(session_date, 30)))")).alias("day"))
+    by_session = rolling.trailing_totals(
+        rolling.daily_amounts(valid.join(calendar, F.col("date") == F.col("session_date")), "security_id", F.col("session_no"), measures),
+        days.join(broadcast_if_bounded(session_days, sessions), "day").select("_entity", F.col("session_no").alias("_pos"), "day"),
+        {"s20": 20},
+        list(measures),
+    ).drop("_pos")
+    out = [F.col("_entity").alias("security_id"), F.date_format("day", "yyyy-MM-dd").alias("day")]
+    for w in ("d7", "d30", "s20"):
+        n = F.nullif(F.col(f"n_{w}"), F.lit(0))
+        out += [F.col(f"n_{w}")]
+        out += [x for m in measures for x in (F.col(f"{m}_{w}").cast("double").alias(f"{m}_{w}"), (F.col(f"{m}_{w}").cast("double") / n).alias(f"mean_{m}_{w}"))]
+    return by_day.drop("_pos").join(by_session, ["_entity", "day"], "left").select(*out)
+
+
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_totals": p2_totals}
