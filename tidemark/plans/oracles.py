@@ -60,4 +60,34 @@ SELECT security_id, strftime(day, '%Y-%m-%d') AS day,
 FROM d LEFT JOIN t7 USING (security_id, day) LEFT JOIN t30 USING (security_id, day) LEFT JOIN t20 USING (security_id, day)
 """
 
-ORACLES = {"p1_found": P1, "p2_found": P2, "p2_totals": P2_TOTALS}
+P4 = """
+WITH i AS (
+  SELECT security_id, coalesce(effective_from, DATE '0001-01-01') AS f, coalesce(effective_to, DATE '9999-12-31') AS t FROM symbol_history
+  UNION
+  SELECT security_id, coalesce(start_date, DATE '0001-01-01'), coalesce(next_alias_start - 1, end_date, DATE '9999-12-31') FROM query_mappings),
+r AS (SELECT *, max(t) OVER (PARTITION BY security_id ORDER BY f, t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before
+  FROM i WHERE f <= t AND security_id IS NOT NULL),
+g AS (SELECT *, sum(CASE WHEN before IS NULL OR f - before > 1 THEN 1 ELSE 0 END) OVER (PARTITION BY security_id ORDER BY f, t ROWS UNBOUNDED PRECEDING) AS n FROM r),
+p AS (SELECT security_id, n, min(f) AS f, max(t) AS t FROM g GROUP BY ALL),
+x AS (SELECT security_id, 'period' AS kind, f, t FROM p UNION ALL
+  SELECT security_id, 'gap', t + 1, lead(f) OVER (PARTITION BY security_id ORDER BY f) - 1 FROM p
+  QUALIFY lead(f) OVER (PARTITION BY security_id ORDER BY f) IS NOT NULL)
+SELECT security_id, kind, strftime(f, '%Y-%m-%d') AS from_day, strftime(t, '%Y-%m-%d') AS to_day FROM x
+"""
+
+P5 = """
+WITH m AS (SELECT *, coalesce(upper(trim(snapshot_type)), '') AS kind FROM pit_membership),
+c AS (SELECT * FROM m WHERE kind IN ('MONTH_END', 'FORCED_EXIT_CARRY_FORWARD', '')),
+k AS (SELECT date, min(knowledge_date) AS known FROM c GROUP BY 1),
+q AS (SELECT DISTINCT date AS d FROM factor_values),
+s AS (SELECT d, max(date) AS snap FROM q JOIN k ON known <= d GROUP BY 1),
+f AS (SELECT DISTINCT date, security_id FROM factor_values WHERE security_id IS NOT NULL AND date IS NOT NULL),
+a AS (SELECT f.date, f.security_id, s.snap, max_by(coalesce(c.active, false), (c.knowledge_date, coalesce(c.active, false))) AS active
+  FROM f LEFT JOIN s ON s.d = f.date LEFT JOIN c ON c.security_id = f.security_id AND c.date = s.snap AND c.knowledge_date <= f.date GROUP BY ALL),
+b AS (SELECT a.date, a.security_id, coalesce(active, false) AND NOT EXISTS (SELECT 1 FROM m WHERE kind = 'FORCED_EXIT' AND m.security_id = a.security_id
+  AND m.date > a.snap AND m.date <= a.date AND m.knowledge_date <= a.date) AS member FROM a)
+SELECT DISTINCT strftime(date, '%Y-%m-%d') AS obs_date, security_id, factor_id FROM factor_values JOIN b USING (date, security_id)
+WHERE pit_member <> member AND factor_id IS NOT NULL
+"""
+
+ORACLES = {"p1_found": P1, "p2_found": P2, "p2_totals": P2_TOTALS, "p4_found": P4, "p5_found": P5}

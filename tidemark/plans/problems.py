@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators import rolling, snapshots
+from tidemark.operators import anomalies, intervals, rolling, snapshots
+from tidemark.operators.asof import History, last_known
 from tidemark.operators.bars import accepted
 from tidemark.scale import broadcast_if_bounded, finite
 from tidemark.sources.tables import load
@@ -101,4 +102,83 @@ def p2_totals(spark: SparkSession, at: str) -> DataFrame:
     return by_day.drop("_pos").join(by_session, ["_entity", "day"], "left").select(*out)
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_totals": p2_totals}
+def p3_found(spark: SparkSession, at: str) -> DataFrame:
+    """Delivered and quarantined bars with a spike, a stuck value or an impossible reading."""
+    columns = ("security_id", "date", "open", "high", "low", "close", "adj_close", "unadjusted_close", "volume", *DELIVERY)
+    found = anomalies.flagged_rows(
+        load(spark, at, "coverage_bars", *columns),
+        load(spark, at, "bar_quarantine", *columns),
+        source="security_id",
+        date="date",
+        run="ingestion_run_id",
+        order=DELIVERY,
+        fields=("open", "adj_close", "unadjusted_close"),
+        steady=("adj_close", "unadjusted_close"),
+        base="close",
+        activity="volume",
+        bounds=("high", "low"),
+        origins=("coverage_bars", "bar_quarantine"),
+    )
+    return found.select(
+        "origin", F.col("_source").alias("security_id"), F.date_format("_date", "yyyy-MM-dd").alias("bar_date"), F.col("_run").alias("ingestion_run_id")
+    )
+
+
+def p4_found(spark: SparkSession, at: str) -> DataFrame:
+    """Continuous periods of the symbol intervals and alias windows of each security, and the gaps between them."""
+    history = load(spark, at, "symbol_history").select("security_id", F.col("effective_from").alias("_start"), F.col("effective_to").alias("_end"))
+    mapped = load(spark, at, "query_mappings").select(
+        "security_id",
+        F.col("start_date").alias("_start"),
+        F.when(F.col("next_alias_start").isNotNull(), F.date_sub("next_alias_start", 1)).otherwise(F.col("end_date")).alias("_end"),
+    )
+    periods = intervals.merged_periods(history.unionByName(mapped), "security_id", "_start", "_end")
+    day = lambda c: F.date_format(F.date_from_unix_date(c), "yyyy-MM-dd")
+    return intervals.periods_and_gaps(periods).select(
+        F.col("_entity").alias("security_id"), "kind", day("_from").alias("from_day"), day("_to").alias("to_day")
+    )
+
+
+COMPLETE = ("MONTH_END", "FORCED_EXIT_CARRY_FORWARD", "")
+
+
+def known_membership(membership: DataFrame, requests: DataFrame, calendar_bound: int = 100_000) -> DataFrame:
+    """(security_id, date, snapshot, active, last_exit, member) for distinct (security_id, date) requests.
+
+    The snapshot known on a day is the same for all securities; its history has at most a row per day, so it
+    is matched over days alone and joined back by day.
+    """
+    kind = F.coalesce(F.upper(F.trim("snapshot_type")), F.lit(""))
+    rows = membership.select("security_id", F.col("date").alias("_date"), "knowledge_date", F.coalesce("active", F.lit(False)).alias("_active"), kind.alias("_kind"))
+    complete = rows.where(F.col("_kind").isin(*COMPLETE))
+    exits = rows.where(F.col("_kind") == "FORCED_EXIT").withColumn("_known", F.greatest("_date", "knowledge_date"))
+    days = last_known(
+        requests.select("date").distinct(), "date", {"snapshot": History(complete.select("knowledge_date", "_date"), (), "knowledge_date", "_date", greatest=True)}
+    )
+    asked = requests.join(broadcast_if_bounded(days, max_rows=calendar_bound), "date").select("security_id", "date", "snapshot")
+    state = complete.select("security_id", F.col("_date").alias("snapshot"), "knowledge_date", "_active")
+    known = last_known(
+        asked,
+        "date",
+        {
+            "active": History(state, ("security_id", "snapshot"), "knowledge_date", "_active"),
+            "last_exit": History(exits, ("security_id",), "_known", "_date", greatest=True),
+        },
+    )
+    left = F.coalesce(F.col("last_exit") > F.col("snapshot"), F.lit(False))
+    return known.withColumn("member", F.coalesce("active", F.lit(False)) & ~left)
+
+
+def p5_found(spark: SparkSession, at: str) -> DataFrame:
+    """Factor rows whose pit_member differs from the membership known on their date."""
+    factors = load(spark, at, "factor_values", "date", "security_id", "factor_id", "pit_member").dropna()
+    known = known_membership(load(spark, at, "pit_membership"), factors.select("security_id", "date").distinct())
+    return (
+        factors.join(known.select("security_id", "date", "member"), ["security_id", "date"])
+        .where(F.col("pit_member") != F.col("member"))
+        .select(F.date_format("date", "yyyy-MM-dd").alias("obs_date"), "security_id", "factor_id")
+        .distinct()
+    )
+
+
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_totals": p2_totals, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found}
