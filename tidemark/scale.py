@@ -61,3 +61,12 @@ def nan_to_null(value: Column) -> Column:
 def finite(value: Column) -> Column:
     """True for a value that is neither NULL, NaN nor infinite; never NULL."""
     return F.coalesce(~F.isnan(value) & (F.abs(value) != float("inf")), F.lit(False))
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """``df`` for work that costs much more than moving its rows: shuffled by ``key`` if it has fewer partitions than there are cores.
+
+    Rows of one key stay together; a key is expected to be near unique.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= 2 * cores else df.repartition(key)
