@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import languages, leaks
+from tidemark.llm import languages, leaks, mixing
 from tidemark.scale import spread
 from tidemark.sources.tables import load
 
@@ -16,6 +16,18 @@ def p6_found(spark: SparkSession, at: str) -> DataFrame:
     return leaks.leaked_items(documents, load(spark, at, "eval_items", "item_id", "text")).select("doc_id", "item_id")
 
 
+def p7_mix(spark: SparkSession, at: str) -> DataFrame:
+    """The documents of the mix in training order, each with its source, its repeat, its tokens and its position."""
+    documents = spread(load(spark, at, "documents", "doc_id", "text", "source"), "doc_id")
+    return mixing.mix(documents, load(spark, at, "source_targets"))
+
+
+def p7_shares(spark: SparkSession, at: str) -> DataFrame:
+    """The share of each source in the mix and its target."""
+    documents = spread(load(spark, at, "documents", "doc_id", "text", "source"), "doc_id")
+    return mixing.actual_shares(documents, load(spark, at, "source_targets"))
+
+
 def _languages(spark: SparkSession, at: str) -> DataFrame:
     documents = load(spark, at, "documents", "doc_id", "text", "lang")
     model = languages.fit_documents(documents)
@@ -36,6 +48,6 @@ def p8_passages(spark: SparkSession, at: str) -> DataFrame:
     )
 
 
-QUERIES = {"p6_found": p6_found, "p8_found": p8_found, "p8_passages": p8_passages}
+QUERIES = {"p6_found": p6_found, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_passages": p8_passages}
 
 ORACLES: dict[str, str] = {}
