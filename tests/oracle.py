@@ -17,7 +17,7 @@ def cell(value):
     if isinstance(value, bool):
         return value
     if isinstance(value, (float, Decimal)):
-        return f"{float(value):.9g}"
+        return repr(float(value) + 0.0) if isinstance(value, float) else str(value.normalize())
     if isinstance(value, datetime):
         return value.replace(tzinfo=None).isoformat()
     if isinstance(value, date):

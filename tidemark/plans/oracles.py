@@ -54,9 +54,9 @@ t30 AS (SELECT security_id, day, count(volume) AS n, sum(volume) AS volume, sum(
 t20 AS (SELECT n.security_id, day, count(volume) AS n, sum(volume) AS volume, sum(usd) AS usd FROM n JOIN x ON x.security_id = n.security_id
   AND x.no BETWEEN n.no - 19 AND n.no GROUP BY ALL)
 SELECT security_id, strftime(day, '%Y-%m-%d') AS day,
-  coalesce(t7.n, 0) AS n_d7, CAST(t7.volume AS DOUBLE) AS volume_d7, CAST(t7.volume AS DOUBLE) / t7.n AS mean_volume_d7, CAST(t7.usd AS DOUBLE) AS usd_d7, CAST(t7.usd AS DOUBLE) / t7.n AS mean_usd_d7,
-  coalesce(t30.n, 0) AS n_d30, CAST(t30.volume AS DOUBLE) AS volume_d30, CAST(t30.volume AS DOUBLE) / t30.n AS mean_volume_d30, CAST(t30.usd AS DOUBLE) AS usd_d30, CAST(t30.usd AS DOUBLE) / t30.n AS mean_usd_d30,
-  coalesce(t20.n, 0) AS n_s20, CAST(t20.volume AS DOUBLE) AS volume_s20, CAST(t20.volume AS DOUBLE) / t20.n AS mean_volume_s20, CAST(t20.usd AS DOUBLE) AS usd_s20, CAST(t20.usd AS DOUBLE) / t20.n AS mean_usd_s20
+  coalesce(t7.n, 0) AS n_d7, CAST(t7.volume AS DOUBLE) AS volume_d7, round(CAST(t7.volume AS DOUBLE) / t7.n, 1) AS mean_volume_d7, CAST(t7.usd AS DOUBLE) AS usd_d7, round(CAST(t7.usd AS DOUBLE) / t7.n, 1) AS mean_usd_d7,
+  coalesce(t30.n, 0) AS n_d30, CAST(t30.volume AS DOUBLE) AS volume_d30, round(CAST(t30.volume AS DOUBLE) / t30.n, 1) AS mean_volume_d30, CAST(t30.usd AS DOUBLE) AS usd_d30, round(CAST(t30.usd AS DOUBLE) / t30.n, 1) AS mean_usd_d30,
+  coalesce(t20.n, 0) AS n_s20, CAST(t20.volume AS DOUBLE) AS volume_s20, round(CAST(t20.volume AS DOUBLE) / t20.n, 1) AS mean_volume_s20, CAST(t20.usd AS DOUBLE) AS usd_s20, round(CAST(t20.usd AS DOUBLE) / t20.n, 1) AS mean_usd_s20
 FROM d LEFT JOIN t7 USING (security_id, day) LEFT JOIN t30 USING (security_id, day) LEFT JOIN t20 USING (security_id, day)
 """
 

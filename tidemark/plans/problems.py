@@ -50,6 +50,13 @@ def _valid_bars(spark: SparkSession, at: str) -> DataFrame:
     return best.where(finite(close) & finite(volume) & (close > 0) & (volume >= 0))
 
 
+def _session_of_days(sessions: DataFrame, after: int = 366) -> DataFrame:
+    """(day, session_no): the last session on or before each calendar day, up to ``after`` days behind the last one."""
+    # one row per session of the calendar, so one task may order them
+    following = sessions.withColumn("_next", F.lead("session_date").over(Window.partitionBy().orderBy("session_date")))
+    return following.select("session_no", F.explode(F.expr(f"sequence(session_date, coalesce(date_sub(_next, 1), date_add(session_date, {after})))")).alias("day"))
+
+
 def p2_found(spark: SparkSession, at: str) -> DataFrame:
     """Audit rows whose 20-session figures disagree with the accepted bars."""
     sessions = load(spark, at, "trading_sessions", "session_date", "session_no").dropna().dropDuplicates(["session_date"])
@@ -57,9 +64,8 @@ def p2_found(spark: SparkSession, at: str) -> DataFrame:
     valid = _valid_bars(spark, at).join(calendar, F.col("date") == F.col("session_date"))
     amounts = rolling.daily_amounts(valid, "security_id", F.col("session_no"), {"usd": F.col("close") * F.col("volume")})
     audit = load(spark, at, "eligibility_audit", "date", "security_id", "adv20_usd", "valid_sessions_20d").dropna(subset=["date", "security_id"])
-    days = audit.select("date").distinct().join(calendar, F.col("session_date") <= F.col("date"), "left").groupBy("date").agg(F.max("session_no").alias("_pos"))
-    requests = audit.distinct().join(broadcast_if_bounded(days, sessions), "date").select(
-        F.col("security_id").alias("_entity"), F.coalesce("_pos", F.lit(0)).alias("_pos"), "date", "adv20_usd", "valid_sessions_20d"
+    requests = audit.distinct().join(broadcast_if_bounded(_session_of_days(sessions), sessions), F.col("date") == F.col("day"), "left").select(
+        F.col("security_id").alias("_entity"), F.coalesce("session_no", F.lit(0)).alias("_pos"), "date", "adv20_usd", "valid_sessions_20d"
     )
     totals = rolling.trailing_totals(amounts, requests, {"s20": 20}, ["usd"])
     mean = F.col("usd_s20").cast("double") / F.nullif(F.col("n_s20"), F.lit(0))
@@ -86,11 +92,9 @@ def p2_totals(spark: SparkSession, at: str) -> DataFrame:
         {"d7": 7, "d30": 30},
         list(measures),
     )
-    bound = broadcast_if_bounded(sessions.select(F.col("session_date"), F.col("session_no"), F.lead("session_date").over(Window.orderBy("session_date")).alias("_next")), sessions)
-    session_days = bound.select("session_no", F.explode(F.expr("sequence(session_date, coalesce(date_sub(_next, 1), date_add(session_date, 30)))")).alias("day"))
     by_session = rolling.trailing_totals(
         rolling.daily_amounts(valid.join(calendar, F.col("date") == F.col("session_date")), "security_id", F.col("session_no"), measures),
-        days.join(broadcast_if_bounded(session_days, sessions), "day").select("_entity", F.col("session_no").alias("_pos"), "day"),
+        days.join(broadcast_if_bounded(_session_of_days(sessions), sessions), "day").select("_entity", F.col("session_no").alias("_pos"), "day"),
         {"s20": 20},
         list(measures),
     ).drop("_pos")
@@ -98,7 +102,7 @@ def p2_totals(spark: SparkSession, at: str) -> DataFrame:
     for w in ("d7", "d30", "s20"):
         n = F.nullif(F.col(f"n_{w}"), F.lit(0))
         out += [F.col(f"n_{w}")]
-        out += [x for m in measures for x in (F.col(f"{m}_{w}").cast("double").alias(f"{m}_{w}"), (F.col(f"{m}_{w}").cast("double") / n).alias(f"mean_{m}_{w}"))]
+        out += [x for m in measures for x in (F.col(f"{m}_{w}").cast("double").alias(f"{m}_{w}"), F.round(F.col(f"{m}_{w}").cast("double") / n, 1).alias(f"mean_{m}_{w}"))]
     return by_day.drop("_pos").join(by_session, ["_entity", "day"], "left").select(*out)
 
 

@@ -25,16 +25,12 @@ def hot_keys(df: DataFrame, key: str, rows_per_task: int, max_keys: int = 10_000
     """Keys with more than ``rows_per_task`` rows and the number of salts each needs: (key, salts).
 
     At most ``max_keys`` keys come out, however large ``df`` is: a key must also hold more than one
-    ``max_keys``-th of all rows, so the result may always be broadcast. Counting is a partial aggregate
-    per task, so a hot key costs no more than any other.
+    ``max_keys``-th of all rows, so the result may always be broadcast. All rows are counted from the file
+    footers, those of a key by a partial aggregate per task, so a hot key costs no more than any other.
     """
+    least = max(rows_per_task, df.count() // max_keys)
     counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("_rows"))
-    total = counts.agg(F.sum("_rows").alias("_total"))
-    return (
-        counts.where(F.col("_rows") > rows_per_task)
-        .join(F.broadcast(total), F.col("_rows") * max_keys > F.col("_total"))
-        .select(key, F.ceil(F.col("_rows") / rows_per_task).cast("int").alias("salts"))
-    )
+    return counts.where(F.col("_rows") > least).select(key, F.ceil(F.col("_rows") / rows_per_task).cast("int").alias("salts"))
 
 
 def shared_dir(spark: SparkSession) -> str:
