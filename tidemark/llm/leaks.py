@@ -23,9 +23,12 @@ Hit = tuple[int, int]  # position in the item, position in the document
 
 
 def piece_length(n: int, share: float = 0.5, errors: int = 10) -> int:
-    """Words of a piece, such that any ``share`` of ``n`` words holds one whole piece more than its error budget."""
+    """Words of a piece, the most for which any stretch of at least ``share`` of ``n`` words holds one whole piece more than its error budget."""
     least = max(math.ceil(n * share), 1)
-    return max((least + 1) // (least // errors + 2), 1)
+    for size in range((least + 1) // (least // errors + 2), 1, -1):
+        if all((length - size + 1) // size > length // errors for length in range(least, n + 1)):
+            return size
+    return 1
 
 
 def edit_distance_within(pattern: Sequence[str], text: Sequence[str]) -> int:
