@@ -11,7 +11,12 @@ from tidemark.scale import broadcast_if_bounded, finite
 from tidemark.sources.tables import load
 
 QUERIES, ORACLES = {}, {}
-FIRST, LAST = F.lit("0001-01-01").cast("date"), F.lit("9999-12-31").cast("date")
+FIRST, LAST = "0001-01-01", "9999-12-31"
+
+
+def date(text: str):
+    return F.lit(text).cast("date")
+
 
 
 def query(oracle: str | None = None):
@@ -27,7 +32,7 @@ def query(oracle: str | None = None):
 def history(spark: SparkSession, at: str):
     """Symbol intervals once each, open sides as the calendar's ends."""
     df = load(spark, at, "symbol_history", "security_id", "ticker", "exchange", "effective_from", "effective_to", "source_asof")
-    return df.select("security_id", F.upper(F.trim("ticker")).alias("ticker"), "exchange", F.coalesce("effective_from", FIRST).alias("f"), F.coalesce("effective_to", LAST).alias("t"), "source_asof").distinct()
+    return df.select("security_id", F.upper(F.trim("ticker")).alias("ticker"), "exchange", F.coalesce("effective_from", date(FIRST)).alias("f"), F.coalesce("effective_to", date(LAST)).alias("t"), "source_asof").distinct()
 
 
 H = """h AS (SELECT DISTINCT security_id, upper(trim(ticker)) AS ticker, exchange, coalesce(effective_from, DATE '0001-01-01') AS f, coalesce(effective_to, DATE '9999-12-31') AS t, source_asof FROM symbol_history)"""
@@ -70,7 +75,7 @@ def members(spark: SparkSession, at: str):
     m = load(spark, at, "pit_membership", "date", "security_id", "active", "snapshot_type", "knowledge_date").withColumn("kind", kind)
     state = m.where("kind <> 'FORCED_EXIT'").groupBy("date", "security_id").agg(F.max(F.struct("knowledge_date", F.coalesce("active", F.lit(False)).alias("a"))).alias("s")).where("s.a")
     complete = m.where("kind <> 'FORCED_EXIT'").select(F.col("date").alias("snap")).distinct()
-    following = complete.withColumn("until", F.coalesce(F.date_sub(F.lead("snap").over(Window.partitionBy().orderBy("snap")), 1), LAST))
+    following = complete.withColumn("until", F.coalesce(F.date_sub(F.lead("snap").over(Window.partitionBy().orderBy("snap")), 1), date(LAST)))
     days = sessions(spark, at).where("session_no % 10 = 0").select(F.col("session_date").alias("d"), "session_no")
     # both sides have at most a row per day of the calendar
     s = days.join(broadcast_if_bounded(following), F.col("d").between(F.col("snap"), F.col("until"))).select("d", "session_no", "snap")
