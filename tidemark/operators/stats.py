@@ -25,11 +25,12 @@ def newey_west(df: DataFrame, value: str, order: str, lags: int, by: Sequence[st
     ordered = whole.orderBy(order)
     terms = {f"_g{j}": F.col("_d") * F.lag("_d", j).over(ordered) for j in range(1, lags + 1)}
     g = rows.withColumns(terms | {"_g0": F.col("_d") * F.col("_d")}).groupBy(*by)
-    n = F.count(F.lit(1))
+    rows = F.count(F.lit(1))
+    n = F.nullif(rows, F.lit(0))
     lrv = F.sum("_g0") / n
     for j in range(1, lags + 1):
         lrv = lrv + 2 * (1 - j / (lags + 1)) * F.coalesce(F.sum(f"_g{j}"), F.lit(0.0)) / n
-    out = g.agg(F.avg(value).alias("mean"), F.sqrt(F.greatest(lrv, F.lit(0.0)) / n).alias("se"), n.alias("n"))
+    out = g.agg(F.avg(value).alias("mean"), F.sqrt(F.greatest(lrv, F.lit(0.0)) / n).alias("se"), rows.alias("n"))
     return out.withColumn("t", F.col("mean") / F.nullif(F.col("se"), F.lit(0.0)))
 
 
