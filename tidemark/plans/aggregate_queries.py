@@ -108,7 +108,7 @@ def a09_a10_information_coefficient(spark, at):
 
 @query(f"""WITH {IC}, d AS (SELECT session_no, ic, ic - avg(ic) OVER () AS d FROM ic WHERE ic IS NOT NULL), g AS (SELECT *, {", ".join(f"d * lag(d, {j}) OVER (ORDER BY session_no) AS g{j}" for j in range(1, 5))} FROM d),
 s AS (SELECT count(*) AS n, avg(ic) AS mean, stddev_samp(ic) AS sd, avg(CASE WHEN ic > 0 THEN 1.0 ELSE 0 END) AS hit, (sum(d * d) + {" + ".join(f"2 * {1 - j / 5} * coalesce(sum(g{j}), 0)" for j in range(1, 5))}) / count(*) AS lrv FROM g)
-SELECT n, {r('mean', 'mean')}, {r('mean / sd', 'ir')}, {r('hit', 'hit')}, {r('sqrt(greatest(lrv, 0) / n)', 'se')}, {r('mean / sqrt(lrv / n)', 't')} FROM s""")
+SELECT n, {r('mean', 'mean')}, {r('mean / sd', 'ir')}, {r('hit', 'hit')}, {r('sqrt(greatest(lrv, 0) / nullif(n, 0))', 'se')}, {r('mean / sqrt(lrv / nullif(n, 0))', 't')} FROM s""")
 def a11_a12_a13_ic_summary(spark, at):
     """Mean, information ratio and hit rate of the coefficients, with a HAC standard error of four lags."""
     ic = _ic(spark, at).where(F.col("ic").isNotNull())
@@ -205,7 +205,7 @@ def a23_a24_w39_event_outcomes(spark, at):
 
 
 @query(f"""WITH {BARS_SQL}, m AS (SELECT date_trunc('month', session_date) AS m, max(session_no) AS no FROM trading_sessions GROUP BY 1)
-SELECT strftime(m, '%Y-%m') AS month, security_id, count(*) AS valid, round(avg(close * volume), 4) + 0.0 AS adv20 FROM m JOIN bars ON session_no BETWEEN no - 19 AND no AND close > 0 AND volume >= 0 GROUP BY ALL""")
+SELECT strftime(m, '%Y-%m') AS month, security_id, count(*) AS valid, round(avg(close * volume), 1) + 0.0 AS adv20 FROM m JOIN bars ON session_no BETWEEN no - 19 AND no AND close > 0 AND volume >= 0 GROUP BY ALL""")
 def a25_g06_month_end_volume(spark, at):
     """Mean dollar volume of the last 20 sessions of every month end, all months at once."""
     from tidemark.plans.base import sessions
@@ -215,7 +215,7 @@ def a25_g06_month_end_volume(spark, at):
     b = bars(spark, at, "close", "volume").where("close > 0 AND volume >= 0")
     # a row per session and month of the calendar
     out = b.join(F.broadcast(spans), "session_no").groupBy(F.date_format("m", "yyyy-MM").alias("month"), "security_id")
-    return out.agg(F.count(F.lit(1)).alias("valid"), (F.round(F.avg(F.col("close") * F.col("volume")), 4) + 0.0).alias("adv20"))
+    return out.agg(F.count(F.lit(1)).alias("valid"), (F.round(F.avg(F.col("close") * F.col("volume")), 1) + 0.0).alias("adv20"))
 
 
 SCORES = f"""{EVENTS}, s AS (SELECT strftime(date, '%Y') AS year, lead(close, 5) {LAG} > close AS y, close / nullif(lag(close, 20) {LAG}, 0) - 1 AS score FROM panel), v AS (SELECT * FROM s WHERE y IS NOT NULL AND score IS NOT NULL AND year IS NOT NULL),
