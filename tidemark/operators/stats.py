@@ -52,3 +52,30 @@ def performance(ret: str) -> dict[str, Column]:
         "sharpe": F.avg(ret) / F.nullif(F.stddev_samp(ret), F.lit(0.0)) * 252.0**0.5,
         "win_rate": F.avg((F.col(ret) > 0).cast("double")),
     }
+
+
+def logistic(df: DataFrame, x: str, y: str, ridge: float, steps: int = 30, tolerance: float = 1e-10) -> tuple[float, float]:
+    """(intercept, slope) of a ridge logistic regression on one variable; the intercept is not penalised.
+
+    Newton's method: each step is one aggregate of five sums over all rows. Rows without both values take no
+    part; without any rows, both are 0.
+    """
+    rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(F.col(x).alias("_x"), F.col(y).alias("_y"))
+    a = b = 0.0
+    for _ in range(steps):
+        p = 1 / (1 + F.exp(-(F.lit(a) + F.lit(b) * F.col("_x"))))
+        w = p * (1 - p)
+        s = rows.agg(
+            F.sum(p - F.col("_y")).alias("ga"), F.sum((p - F.col("_y")) * F.col("_x")).alias("gb"), F.sum(w).alias("aa"), F.sum(w * F.col("_x")).alias("ab"), F.sum(w * F.col("_x") * F.col("_x")).alias("bb")
+        ).first()
+        if s["ga"] is None:
+            return 0.0, 0.0
+        ga, gb, aa, ab, bb = s["ga"], s["gb"] + ridge * b, s["aa"], s["ab"], s["bb"] + ridge
+        det = aa * bb - ab * ab
+        if det <= 0:
+            break
+        da, db = (bb * ga - ab * gb) / det, (aa * gb - ab * ga) / det
+        a, b = a - da, b - db
+        if abs(da) + abs(db) < tolerance:
+            break
+    return a, b
