@@ -1,11 +1,14 @@
 """Every query against its SQL on whole small tables, and the stability of the general problems' queries."""
 
+from concurrent.futures import ThreadPoolExecutor
+
 import pytest
 
 import __spark_entry__ as entry
 import variants
 from oracle import difference, rows_of
 from tidemark.plans import problems
+from tidemark.scale import shared_dir
 
 LLM = set()
 try:
@@ -17,14 +20,29 @@ except ImportError:
 QUERIES, SQL = entry.queries(), entry.oracle_sql()
 
 
+@pytest.fixture(scope="module")
+def ahead(request, spark, small, copies):
+    """Results of the selected tests by their ids, computed by a few threads: small queries mostly wait for planning."""
+    shared_dir(spark)
+    work = {
+        "test_query_equals_sql": lambda name: difference(spark, QUERIES[name], SQL[name], small),
+        "test_query_runs": lambda name: QUERIES[name](spark, small).count(),
+        "test_empty_tables_give_nothing": lambda name: result(spark, name, copies["empty"]),
+        "test_dirt_changes_nothing": lambda name, variant: (result(spark, name, copies[variant]), result(spark, name, small)),
+    }
+    with ThreadPoolExecutor(6) as pool:
+        chosen = [i for i in request.session.items if i.module is request.module and i.originalname in work]
+        yield {i.name: pool.submit(work[i.originalname], **i.callspec.params) for i in chosen}
+
+
 @pytest.mark.parametrize("name", sorted(set(SQL) - LLM))
-def test_query_equals_sql(spark, small, name):
-    assert difference(spark, QUERIES[name], SQL[name], small)[0] == ""
+def test_query_equals_sql(ahead, request, name):
+    assert ahead[request.node.name].result()[0] == ""
 
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL) - LLM))
-def test_query_runs(spark, small, name):
-    assert QUERIES[name](spark, small).count() >= 0
+def test_query_runs(ahead, request, name):
+    assert ahead[request.node.name].result() >= 0
 
 
 def test_entry(spark):
@@ -43,11 +61,12 @@ def copies(tmp_path_factory):
 
 
 @pytest.mark.parametrize("name", sorted(problems.QUERIES))
-def test_empty_tables_give_nothing(spark, copies, name):
-    assert not result(spark, name, copies["empty"])[1]
+def test_empty_tables_give_nothing(ahead, request, name):
+    assert not ahead[request.node.name].result()[1]
 
 
 @pytest.mark.parametrize("variant", ["with_nulls", "twice", "clashing"])
 @pytest.mark.parametrize("name", sorted(problems.QUERIES))
-def test_dirt_changes_nothing(spark, small, copies, name, variant):
-    assert result(spark, name, copies[variant]) == result(spark, name, small)
+def test_dirt_changes_nothing(ahead, request, name, variant):
+    got, want = ahead[request.node.name].result()
+    assert got == want

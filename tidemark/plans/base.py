@@ -30,7 +30,7 @@ def bars(spark: SparkSession, at: str, *columns: str) -> DataFrame:
     best = accepted(rows, ("security_id", "date"), DELIVERY, columns)
     calendar = sessions(spark, at)
     clean = [nan_to_null(F.col(c)).alias(c) if c in PRICES else F.col(c) for c in columns]
-    joined = best.join(broadcast_if_bounded(calendar), F.col("date") == F.col("session_date"))
+    joined = best.join(broadcast_if_bounded(calendar, load(spark, at, "trading_sessions")), F.col("date") == F.col("session_date"))
     return joined.select("security_id", F.col("session_no").cast("int").alias("session_no"), "date", *clean)
 
 

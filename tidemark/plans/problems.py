@@ -60,7 +60,7 @@ def _session_of_days(sessions: DataFrame, after: int = 366) -> DataFrame:
 def p2_found(spark: SparkSession, at: str) -> DataFrame:
     """Audit rows whose 20-session figures disagree with the accepted bars."""
     sessions = load(spark, at, "trading_sessions", "session_date", "session_no").dropna().dropDuplicates(["session_date"])
-    calendar = broadcast_if_bounded(sessions)
+    calendar = broadcast_if_bounded(sessions, load(spark, at, "trading_sessions"))
     valid = _valid_bars(spark, at).join(calendar, F.col("date") == F.col("session_date"))
     amounts = rolling.daily_amounts(valid, "security_id", F.col("session_no"), {"usd": F.col("close") * F.col("volume")})
     audit = load(spark, at, "eligibility_audit", "date", "security_id", "adv20_usd", "valid_sessions_20d").dropna(subset=["date", "security_id"])
@@ -81,7 +81,7 @@ def p2_found(spark: SparkSession, at: str) -> DataFrame:
 def p2_totals(spark: SparkSession, at: str) -> DataFrame:
     """For each security and calendar day from its first valid bar to its last: totals of 7 and 30 days and 20 sessions."""
     sessions = load(spark, at, "trading_sessions", "session_date", "session_no").dropna().dropDuplicates(["session_date"])
-    calendar = broadcast_if_bounded(sessions)
+    calendar = broadcast_if_bounded(sessions, load(spark, at, "trading_sessions"))
     valid = _valid_bars(spark, at)
     measures = {"volume": F.col("volume"), "usd": F.col("close") * F.col("volume")}
     span = valid.groupBy("security_id").agg(F.min("date").alias("_from"), F.max("date").alias("_to"))

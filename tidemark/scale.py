@@ -14,11 +14,11 @@ BROADCAST_ROWS = 100_000
 def broadcast_if_bounded(df: DataFrame, counted: DataFrame | None = None, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` with a broadcast hint if ``counted`` (by default ``df`` itself) has at most ``max_rows`` rows.
 
-    ``counted`` must have at least as many rows as ``df``; a base table is best, as its rows are counted
+    ``counted`` must have about as many rows as ``df`` or more; a base table is best, as its rows are counted
     from the file footers. Beyond the bound the join is left to a shuffle.
     """
-    source = counted if counted is not None else df
-    return F.broadcast(df) if source.limit(max_rows + 1).count() <= max_rows else df
+    rows = counted.count() if counted is not None else df.limit(max_rows + 1).count()
+    return F.broadcast(df) if rows <= max_rows else df
 
 
 def hot_keys(df: DataFrame, key: str, rows_per_task: int, max_keys: int = 10_000) -> DataFrame:
