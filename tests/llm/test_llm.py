@@ -1,6 +1,7 @@
 """The operators on documents, on small cases and against brute force."""
 
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -83,6 +84,17 @@ def test_leaks_equal_brute_force_over_substitutions():
         assert bool(leaks.ItemIndex([(1, " ".join(item))], 0.5, 10).find(" ".join(document))) == want
 
 
+def test_long_and_repeating_texts_take_time_in_proportion():
+    item = [f"w{i}" for i in range(70)]
+    index = leaks.ItemIndex([(1, " ".join(item))], 0.5, 10)
+    began = time.time()
+    assert not index.find(" ".join(item[:14] * 5_000))
+    assert index.find(" ".join(item[:14] * 5_000 + item))
+    assert words("<!-- " * 50_000 + "a") and words("<!-- x --> a <!-- y -->b") == ["a", "b"]
+    assert len(languages.units("x" * 300_000, 90)) > 2_000
+    assert time.time() - began < 60
+
+
 def test_leaks_in_blocks_equal_one_block(spark, small):
     docs, items = spark.read.parquet(f"{small}/documents.parquet"), spark.read.parquet(f"{small}/eval_items.parquet")
     one = {tuple(r) for r in leaks.leaked_items(docs, items).collect()}
@@ -212,5 +224,10 @@ def test_dirt_changes_nothing(spark, small, copies, name, variant):
     assert result(spark, name, copies[variant]) == result(spark, name, small)
 
 
+@pytest.mark.parametrize("name", ["p6_found", "p8_found"])
+def test_repeated_rows_change_nothing(spark, small, copies, name):
+    assert result(spark, name, copies["twice"]) == result(spark, name, small)
+
+
 def test_entry_has_the_queries():
     assert set(QUERIES) <= set(entry.queries())

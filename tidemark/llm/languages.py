@@ -84,9 +84,12 @@ def units(text: str, chars: int) -> list[tuple[int, int, bool]]:
         if start == end:
             continue
         first = True
-        # a wide character says as much as three others
-        limit = max(chars * (end - start) // (end - start + 2 * len(_WIDE.findall(text, start, end))), 1)
-        while end - start > limit * 1.5:
+        while end - start > chars / 2:
+            # a wide character says as much as three others
+            near = min(end, start + 2 * chars)
+            limit = max(chars * (near - start) // (near - start + 2 * len(_WIDE.findall(text, start, near))), 1)
+            if end - start <= limit * 1.5:
+                break
             cut = text.find(" ", start + limit, min(end, start + limit * 2))
             cut = cut if cut > 0 else start + limit
             found.append((start, cut, first))

@@ -55,24 +55,31 @@ def edit_distance_within(pattern: Sequence[str], text: Sequence[str]) -> int:
     return best
 
 
-def _diagonals(hits: Iterable[Hit], slack: int) -> Iterator[tuple[int, int]]:
-    """Ranges of neighbouring diagonals (document minus item position) that hold hits."""
+def _diagonals(hits: Iterable[Hit], slack: int, n: int) -> Iterator[tuple[int, int]]:
+    """Ranges of neighbouring diagonals (document minus item position) that hold hits.
+
+    A passage drifts by less than the item's ``n`` words, so a wide range is cut into overlapping ones of at
+    most ``2 n``: a long text that repeats the item's pieces all over costs as much as its length.
+    """
     low = high = None
+    ranges = []
     for d in sorted({q - p for p, q in hits}):
         if high is None or d - high > slack:
-            if high is not None:
-                yield low, high
             low = d
-        high = d
-    if high is not None:
-        yield low, high
+            ranges.append([low, d])
+        ranges[-1][1] = high = d
+    for low, high in ranges:
+        for start in range(low, high + 1, n):
+            yield start, min(high, start + 2 * n)
+            if start + 2 * n >= high:
+                break
 
 
 def repeats(item: Sequence[str], document: Sequence[str], hits: Iterable[Hit], share: float = 0.5, errors: int = 10) -> int:
     """Words of the longest stretch of ``item`` (at least ``share`` of it) found within the error budget; 0 if there is none."""
     n = len(item)
     least = max(math.ceil(n * share), 1)
-    for low, high in _diagonals(hits, max(3, n // errors)):
+    for low, high in _diagonals(hits, max(3, n // errors), n):
         # a word counts as found if any of the diagonals has it: no stretch with fewer of them can pass
         worth = [0]
         for i, w in enumerate(item):
