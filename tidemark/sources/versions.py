@@ -13,6 +13,7 @@ from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 class NotPublished(ValueError):
@@ -69,10 +70,10 @@ class VersionedTable:
             # rows of a month meet in one task per month and hash, so a month is a few files, not one per task
             writer = out.repartition("month", F.pmod(F.xxhash64(*df.columns), F.lit(4))).write.mode("errorifexists").partitionBy("month")
         writer.parquet(data)
-        stored = self.spark.read.parquet(data).select(*df.columns)
+        stored = self.spark.read.schema(out.schema).parquet(data).select(*df.columns)
         checks = {k: F.coalesce(c, F.lit(False)).alias(f"gate_{k}") for k, c in (gates or {}).items()}
         row = stored.agg(F.count(F.lit(1)).alias("rows"), fingerprint(stored).alias("fingerprint"), *checks.values()).first()
-        manifest = {"version": version, "rows": row["rows"], "fingerprint": row["fingerprint"], "columns": df.columns, "gates": {k: bool(row[f"gate_{k}"]) for k in checks}}
+        manifest = {"version": version, "rows": row["rows"], "fingerprint": row["fingerprint"], "columns": df.columns, "schema": json.loads(out.schema.json()), "gates": {k: bool(row[f"gate_{k}"]) for k in checks}}
         write_text(self.spark, f"{self._at(version)}/manifest.json", json.dumps(manifest, sort_keys=True))
         return manifest
 
@@ -99,7 +100,7 @@ class VersionedTable:
         manifest = self.manifest(version) if version else None
         if manifest is None:
             raise NotPublished("nothing is published")
-        df = self.spark.read.parquet(f"{self._at(version)}/data")
+        df = self.spark.read.schema(T.StructType.fromJson(manifest["schema"])).parquet(f"{self._at(version)}/data")
         if verify and df.select(*manifest["columns"]).agg(fingerprint(df.select(*manifest["columns"]))).first()[0] != manifest["fingerprint"]:
             raise NotPublished(f"{version}: its content has changed")
         if self.month_of:
