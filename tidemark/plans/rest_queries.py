@@ -220,3 +220,62 @@ def j14_one_to_one(spark, at):
     e = load(spark, at, "eligibility_audit", "security_id", "date", "adv20_usd")
     c = e.groupBy("security_id").agg(F.max_by("adv20_usd", "date").alias("cap"))
     return e.select("security_id").distinct().join(c, "security_id", "left").select("security_id", (F.round("cap", 4) + F.lit(0.0)).alias("cap"), F.when(F.col("cap").isNull(), "MISSING").otherwise("OK").alias("state"))
+
+
+@query("""WITH n AS (SELECT date, regexp_replace(upper(trim(ticker)), '[./]', '-', 'g') AS t, TRY_CAST(CAST(close AS VARCHAR) AS DOUBLE) AS c, ingestion_run_id FROM coverage_bars WHERE ticker IS NOT NULL AND date BETWEEN DATE '2025-01-01' AND DATE '2025-06-30'),
+k AS (SELECT date, t, arg_max(c, ingestion_run_id) AS c FROM n WHERE isfinite(c) AND c > 0 GROUP BY ALL) SELECT t AS ticker, count(*) AS days, round(max(c), 4) + 0.0 AS highest FROM k GROUP BY 1""")
+def proj01_proj02_proj11_normalise(spark, at):
+    """Names in one form, texts as numbers where they are some, bad rows out, one row per name and day."""
+    c = load(spark, at, "coverage_bars", "date", "ticker", "close", "ingestion_run_id").where("ticker IS NOT NULL AND date BETWEEN DATE '2025-01-01' AND DATE '2025-06-30'")
+    n = c.select("date", F.regexp_replace(F.upper(F.trim("ticker")), "[./]", "-").alias("ticker"), F.expr("try_cast(cast(close AS string) AS double)").alias("c"), "ingestion_run_id")
+    k = accepted(n.where(finite(F.col("c")) & (F.col("c") > 0)), ("date", "ticker"), ("ingestion_run_id",), ("c",))
+    return k.groupBy("ticker").agg(F.count(F.lit(1)).alias("days"), (F.round(F.max("c"), 4) + F.lit(0.0)).alias("highest"))
+
+
+@query(f"""WITH {BARS_SQL}, s AS (SELECT DISTINCT security_id FROM bars WHERE session_no <= 5) SELECT s.security_id, count(*) AS slots, count(close) AS filled FROM s CROSS JOIN trading_sessions t LEFT JOIN bars b ON b.security_id = s.security_id AND b.session_no = t.session_no WHERE t.session_no <= 100 GROUP BY 1""")
+def proj19_reindex(spark, at):
+    """Early securities on an exact axis of a hundred sessions, the missing ones counted."""
+    b = bars(spark, at, "close").where("session_no <= 100")
+    s = b.where("session_no <= 5").select("security_id").distinct()
+    axis = s.select("security_id", F.explode(F.sequence(F.lit(1), F.lit(100))).alias("session_no"))
+    last = sessions(spark, at).agg(F.max("session_no").alias("_m"))
+    return axis.join(F.broadcast(last), F.col("session_no") <= F.col("_m")).join(b, ["security_id", "session_no"], "left").groupBy("security_id").agg(F.count(F.lit(1)).alias("slots"), F.count("close").alias("filled"))
+
+
+@query(f"""WITH {BARS_SQL}, q AS (SELECT security_id, min(session_no) AS f FROM bars GROUP BY 1), m AS (SELECT date, security_id, ticker, active FROM (SELECT DISTINCT ON (security_id) date, security_id, ticker, active FROM pit_membership WHERE security_id IS NOT NULL ORDER BY security_id, date, knowledge_date, ticker, active))
+SELECT security_id, CASE WHEN m.date IS NULL THEN 'NEW' WHEN CAST(f AS BIGINT) <= 5 THEN 'FROM_START' ELSE 'LATER' END AS state FROM q LEFT JOIN m USING (security_id)""")
+def g11_s04_first_membership(spark, at):
+    """Whether a security with bars was in the universe, and from when its bars run."""
+    q = bars(spark, at, "close").groupBy("security_id").agg(F.min("session_no").alias("f"))
+    m = load(spark, at, "pit_membership", "security_id", "date").where("security_id IS NOT NULL").groupBy("security_id").agg(F.min("date").alias("d"))
+    return q.join(m, "security_id", "left").select("security_id", F.when(F.col("d").isNull(), "NEW").when(F.col("f") <= 5, "FROM_START").otherwise("LATER").alias("state"))
+
+
+@query(f"""WITH {RET}, b AS (SELECT session_no, adj_close FROM panel WHERE security_id = (SELECT any_value(security_id) FROM coverage_bars WHERE ticker = 'QBMK')), x AS (SELECT session_no, adj_close / nullif(lag(adj_close) OVER (ORDER BY session_no), 0) - 1 AS m FROM b)
+SELECT security_id, session_no, {r('ret - m', 'excess')} FROM ret JOIN x USING (session_no) WHERE ret IS NOT NULL AND m IS NOT NULL""")
+def j25_benchmark_excess(spark, at):
+    """Returns over those of the benchmark, joined by session."""
+    ids = load(spark, at, "coverage_bars", "security_id", "ticker").where("ticker = 'QBMK'").agg(F.min("security_id").alias("security_id"))
+    ret = panel(spark, at, "adj_close").withColumn("ret", series.change("adj_close")).where("ret IS NOT NULL").select("security_id", "session_no", "ret")
+    # the benchmark has a row per session of the calendar
+    m = ret.join(F.broadcast(ids), "security_id").select("session_no", F.col("ret").alias("m"))
+    return ret.join(F.broadcast(m), "session_no").select("security_id", "session_no", r6(F.col("ret") - F.col("m")).alias("excess"))
+
+
+@query("""WITH f AS (SELECT DISTINCT date, security_id, factor_id, status, pit_member, raw_value FROM factor_values) SELECT factor_id, count(*) AS rows, count(*) - count(DISTINCT (date, security_id)) AS repeated, count(*) FILTER (NOT isfinite(raw_value)) AS not_finite, count(*) FILTER (status NOT IN ('VALID', 'NOT_MEMBER', 'INSUFFICIENT_HISTORY')) AS bad_status,
+  count(*) FILTER (status = 'VALID' AND NOT coalesce(pit_member, true)) AS contradictions FROM f GROUP BY 1""")
+def g12_a17_observation_checks(spark, at):
+    """All checks of the observations of each factor in one aggregate."""
+    f = load(spark, at, "factor_values", "date", "security_id", "factor_id", "status", "pit_member", "raw_value").distinct()
+    some = lambda c: F.count_if(F.coalesce(c, F.lit(False)))
+    n = F.count(F.lit(1))
+    return f.groupBy("factor_id").agg(n.alias("rows"), (n - F.countDistinct(F.struct("date", "security_id"))).alias("repeated"), some(~finite(F.col("raw_value")) & F.col("raw_value").isNotNull()).alias("not_finite"),
+        some(~F.col("status").isin("VALID", "NOT_MEMBER", "INSUFFICIENT_HISTORY")).alias("bad_status"), some((F.col("status") == "VALID") & ~F.coalesce("pit_member", F.lit(True))).alias("contradictions"))
+
+
+@query("""WITH d AS (SELECT document_id, doc_id, kind, observed_at FROM documents WHERE observed_at IS NOT NULL AND observed_at <= TIMESTAMP '2025-12-31'), k AS (SELECT *, row_number() OVER (PARTITION BY document_id, kind ORDER BY observed_at DESC, doc_id DESC) AS k FROM d) SELECT kind, count(*) AS current, max(doc_id) AS newest FROM k WHERE k = 1 GROUP BY 1""")
+def e05_e07_report_as_of(spark, at):
+    """The report of each kind as it stood at a time."""
+    d = load(spark, at, "documents", "document_id", "doc_id", "kind", "observed_at").where(F.col("observed_at") <= F.lit("2025-12-31").cast("timestamp_ntz"))
+    last = d.groupBy("document_id", "kind").agg(F.max(F.struct("observed_at", "doc_id")).alias("m"))
+    return last.groupBy("kind").agg(F.count(F.lit(1)).alias("current"), F.max("m.doc_id").alias("newest"))
