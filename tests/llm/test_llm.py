@@ -134,7 +134,7 @@ def test_plan_is_the_largest_that_caps_allow():
 @pytest.mark.parametrize("per_task", [3, 50_000])
 def test_mix_keeps_shares_caps_and_order(spark, per_task):
     rng = random.Random(2)
-    rows = [(i, "big" if i % 3 else "small", rng.randrange(0, 60)) for i in range(400)] + [(1, "big", 5), (1, "big", 5)]
+    rows = [(i, "big" if i % 3 else "small", rng.randrange(0, 60)) for i in range(400)] + [(1, "big", 5), (1, "big", 5)] + [(2, "big", 7)] * 11
     sizes = spark.createDataFrame(rows, "doc_id long, _source string, _tokens long")
     available = mixing.available_of(sizes)
     shares = mixing.plan({"big": (0.3, 1), "small": (0.7, 3)}, available)

@@ -105,24 +105,32 @@ def available_of(sizes: DataFrame) -> dict[str, tuple[int, int]]:
 def offsets(sizes: DataFrame, document_id: str, shares: Sequence[Share], rows_per_task: int = 50_000) -> DataFrame:
     """(document_id, _source, _tokens, _before): the tokens of the source before each document, in the order of hashes.
 
-    A source of any size is cut into buckets by hash, with about ``rows_per_task`` documents in each. Sums
-    of buckets are few and are added up first; within a bucket one task adds up its documents.
+    Copies (the same id, source and size) are counted first and take one row until the end, so no number of
+    them fills a bucket. A source of any size is cut into buckets by hash, with about ``rows_per_task``
+    documents in each. Sums of buckets are few and are added up first; within a bucket one task adds up its
+    documents.
     """
     buckets = F.create_map(*[F.lit(x) for s in shares for x in (s.source, max(-(-s.documents // rows_per_task), 1))])
-    hashed = sizes.withColumn("_hash", F.xxhash64(F.col(document_id), F.lit("mix"))).withColumn(
+    counted = sizes.groupBy(document_id, "_source", "_tokens").agg(F.count(F.lit(1)).alias("_copies"))
+    hashed = counted.withColumn("_hash", F.xxhash64(F.col(document_id), F.lit("mix"))).withColumn(
         "_bucket", F.pmod(F.shiftrightunsigned("_hash", 8), F.element_at(buckets, F.col("_source"))).cast("int")
     )
-    sums = hashed.groupBy("_source", "_bucket").agg(F.sum("_tokens").alias("_sum"))
+    hashed = hashed.withColumn("_size", F.col("_tokens") * F.col("_copies"))
+    sums = hashed.groupBy("_source", "_bucket").agg(F.sum("_size").alias("_sum"))
     up_to = Window.partitionBy("_source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.select("_source", "_bucket", F.coalesce(F.sum("_sum").over(up_to), F.lit(0)).alias("_start"))
     count = sum(max(-(-s.documents // rows_per_task), 1) for s in shares)
     starts = F.broadcast(starts) if count <= 100_000 else starts
     inside = Window.partitionBy("_source", "_bucket").orderBy("_hash", document_id, "_tokens").rowsBetween(Window.unboundedPreceding, -1)
-    return (
-        hashed.join(starts, ["_source", "_bucket"])
-        .withColumn("_before", F.col("_start") + F.coalesce(F.sum("_tokens").over(inside), F.lit(0)))
-        .select(document_id, "_source", "_tokens", "_before")
-    )
+    placed = hashed.join(starts, ["_source", "_bucket"]).withColumn("_before", F.col("_start") + F.coalesce(F.sum("_size").over(inside), F.lit(0)))
+    placed = placed.select(document_id, "_source", "_tokens", "_before", "_copies")
+    # a group of very many copies is spread over tasks before it is written out
+    first = F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("_copies") - 1) / rows_per_task)))
+    few = placed.where(F.col("_copies") <= rows_per_task).withColumn("_part", F.lit(0).cast("bigint"))
+    many = placed.where(F.col("_copies") > rows_per_task).withColumn("_part", first).repartition(document_id, "_part")
+    start, last = F.col("_part") * rows_per_task, F.least((F.col("_part") + 1) * rows_per_task, F.col("_copies")) - 1
+    copies = few.unionByName(many).withColumn("_copy", F.explode(F.sequence(start, last)))
+    return copies.select(document_id, "_source", "_tokens", (F.col("_before") + F.col("_copy") * F.col("_tokens")).alias("_before"))
 
 
 def mixed(sizes: DataFrame, document_id: str, shares: Sequence[Share]) -> DataFrame:
