@@ -29,7 +29,7 @@ def p7_shares(spark: SparkSession, at: str) -> DataFrame:
 
 
 def _languages(spark: SparkSession, at: str) -> DataFrame:
-    documents = load(spark, at, "documents", "doc_id", "text", "lang")
+    documents = load(spark, at, "documents", "doc_id", "text", "lang").where("doc_id IS NOT NULL")
     model = languages.fit_documents(documents)
     return languages.document_passages(spread(documents, "doc_id"), model, keep=("lang",))
 
