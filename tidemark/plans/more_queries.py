@@ -192,7 +192,7 @@ def w16_w17_w36_ratios(spark, at):
 
 
 @query("""WITH o AS (SELECT security_id, date AS d, CAST(knowledge_date AS DATE) AS known, active FROM pit_membership WHERE knowledge_date IS NOT NULL), s AS (SELECT known, arg_max(security_id, (d, security_id)) AS newest, count(*) AS rows FROM o GROUP BY 1)
-SELECT strftime(known, '%Y-%m-%d') AS day, newest, rows, sum(rows) OVER (ORDER BY known) AS so_far FROM s""")
+SELECT strftime(known, '%Y-%m-%d') AS day, newest, rows, CAST(sum(rows) OVER (ORDER BY known) AS BIGINT) AS so_far FROM s""")
 def w18_u09_by_availability(spark, at):
     """Rows by the day on which they became known, the newest of each and how many are known so far."""
     o = load(spark, at, "pit_membership", "security_id", "date", "knowledge_date").where("knowledge_date IS NOT NULL")
@@ -384,7 +384,7 @@ def e14_e19_blockers(spark, at):
     return g.select("source", "n", F.array_join(codes, ";").alias("blockers"))
 
 
-@query(f"""WITH {RET}, k AS (SELECT session_no, security_id, row_number() OVER (PARTITION BY session_no ORDER BY close DESC, security_id) AS r FROM ret WHERE close > 0 AND session_no % 20 = 0), w AS (SELECT session_no, security_id, 0.1 AS w FROM k WHERE r <= 10)
+@query(f"""WITH {RET}, k AS (SELECT session_no, security_id, row_number() OVER (PARTITION BY session_no ORDER BY close DESC, security_id) AS r FROM ret WHERE close > 0 AND session_no % 20 = 0), w AS (SELECT session_no, security_id, CAST(0.1 AS DOUBLE) AS w FROM k WHERE r <= 10)
 SELECT coalesce(a.session_no, b.session_no + 20) AS session_no, coalesce(a.security_id, b.security_id) AS security_id, round(coalesce(a.w, 0) - coalesce(b.w, 0), 6) + 0.0 AS delta FROM w a FULL JOIN w b ON b.security_id = a.security_id AND b.session_no = a.session_no - 20 WHERE coalesce(a.w, 0) <> coalesce(b.w, 0)""")
 def g22_l14_weight_changes(spark, at):
     """Changes of weights between rebalances: a full outer join of the next with the last ones."""
