@@ -79,8 +79,11 @@ def repeats(item: Sequence[str], document: Sequence[str], hits: Iterable[Hit], s
     """Words of the longest stretch of ``item`` (at least ``share`` of it) found within the error budget; 0 if there is none."""
     n = len(item)
     least = max(math.ceil(n * share), 1)
-    for low, high in _diagonals(hits, max(3, n // errors), n):
-        # a word counts as found if any of the diagonals has it: no stretch with fewer of them can pass
+    drift = max(n // errors, 1)
+    for low, high in _diagonals(hits, 2 * drift + 1, n):
+        # a word counts as found if any diagonal has it that insertions and deletions may reach from a hit:
+        # no stretch with fewer of them can pass
+        low, high = low - drift, high + drift
         worth = [0]
         for i, w in enumerate(item):
             found = w in document[max(i + low, 0) : max(i + high + 1, 0)]

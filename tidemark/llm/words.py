@@ -17,6 +17,8 @@ _UNSEEN = regex.compile(r"[­​-‏‪-‮⁠-⁤﻿]")
 #: a word divided at the end of a line
 _DIVIDED = regex.compile(r"(?<=\p{L})[-‐‑]\s*\n\s*(?=\p{Ll})")
 _APOSTROPHE = regex.compile(r"(?<=\w)['‘’ʼ`´＇](?=\w)")
+#: points and commas inside a number
+_POINT = regex.compile(r"(?<=\d)[.,](?=\d)")
 _WORD = regex.compile(r"[^\W_]+")
 
 
@@ -42,4 +44,4 @@ def words(text: str | None) -> list[str]:
         text = _LINK.sub(r"\1", text)
     text = _DIVIDED.sub("", _NOTE.sub("", text))
     text = unicodedata.normalize("NFKC", text).casefold()
-    return _WORD.findall(_APOSTROPHE.sub("", text))
+    return _WORD.findall(_POINT.sub("", _APOSTROPHE.sub("", text)))
