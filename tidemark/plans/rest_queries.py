@@ -143,11 +143,11 @@ def c14_k10_master(spark, at):
     return out.where("ticker IS NOT NULL")
 
 
-@query(f"""WITH {BARS_SQL}, f AS (SELECT session_no, avg(close) AS level, count(*) AS n FROM bars WHERE close > 0 GROUP BY 1), l AS (SELECT session_no, lead(avg(close), 5) OVER (ORDER BY session_no) AS ahead FROM bars WHERE close > 0 GROUP BY 1)
+@query(f"""WITH {BARS_SQL}, f AS (SELECT session_no, max(close) AS level, count(*) AS n FROM bars WHERE close > 0 GROUP BY 1), l AS (SELECT session_no, lead(max(close), 5) OVER (ORDER BY session_no) AS ahead FROM bars WHERE close > 0 GROUP BY 1)
 SELECT CAST(t.session_no AS BIGINT) AS session_no, round(level, 3) + 0.0 AS level, round(ahead / level - 1, 5) + 0.0 AS label, last_value(n IGNORE NULLS) OVER (ORDER BY t.session_no ROWS 5 PRECEDING) AS known FROM trading_sessions t LEFT JOIN f USING (session_no) LEFT JOIN l USING (session_no)""")
 def c08_regime_dataset(spark, at):
     """Features and labels on one calendar, features filled for at most five sessions."""
-    f = bars(spark, at, "close").where("close > 0").groupBy("session_no").agg(F.avg("close").alias("level"), F.count(F.lit(1)).alias("n"))
+    f = bars(spark, at, "close").where("close > 0").groupBy("session_no").agg(F.max("close").alias("level"), F.count(F.lit(1)).alias("n"))
     # a row per session of the calendar
     w = Window.partitionBy().orderBy("session_no")
     labelled = f.withColumn("ahead", F.lead("level", 5).over(w))
