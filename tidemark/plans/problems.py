@@ -79,12 +79,15 @@ def p2_found(spark: SparkSession, at: str) -> DataFrame:
 
 
 def p2_totals(spark: SparkSession, at: str) -> DataFrame:
-    """For each security and calendar day from its first valid bar to its last: totals of 7 and 30 days and 20 sessions."""
+    """For each security and calendar day from its first delivered bar to the end of the calendar: totals of 7 and 30 days and 20 sessions."""
     sessions = load(spark, at, "trading_sessions", "session_date", "session_no").dropna().dropDuplicates(["session_date"])
     calendar = broadcast_if_bounded(sessions, load(spark, at, "trading_sessions"))
     valid = _valid_bars(spark, at)
     measures = {"volume": F.col("volume"), "usd": F.col("close") * F.col("volume")}
-    span = valid.groupBy("security_id").agg(F.min("date").alias("_from"), F.max("date").alias("_to"))
+    # securities without a valid bar have days too; a bar behind the calendar's last session is within them
+    end = sessions.agg(F.max("session_date").alias("_end"))
+    delivered = load(spark, at, "coverage_bars", "security_id", "date").dropna().groupBy("security_id").agg(F.min("date").alias("_from"), F.max("date").alias("_last"))
+    span = delivered.join(F.broadcast(end)).select("security_id", "_from", F.greatest("_last", "_end").alias("_to"))
     days = span.select(F.col("security_id").alias("_entity"), F.explode(F.sequence("_from", "_to")).alias("day"))
     by_day = rolling.trailing_totals(
         rolling.daily_amounts(valid, "security_id", F.unix_date("date"), measures),
@@ -101,7 +104,7 @@ def p2_totals(spark: SparkSession, at: str) -> DataFrame:
     out = [F.col("_entity").alias("security_id"), F.date_format("day", "yyyy-MM-dd").alias("day")]
     for w in ("d7", "d30", "s20"):
         n = F.nullif(F.col(f"n_{w}"), F.lit(0))
-        out += [F.col(f"n_{w}")]
+        out += [F.coalesce(f"n_{w}", F.lit(0)).alias(f"n_{w}")]
         out += [x for m in measures for x in (F.col(f"{m}_{w}").cast("double").alias(f"{m}_{w}"), F.round(F.col(f"{m}_{w}").cast("double") / n, 1).alias(f"mean_{m}_{w}"))]
     return by_day.drop("_pos").join(by_session, ["_entity", "day"], "left").select(*out)
 
