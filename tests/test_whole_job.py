@@ -75,3 +75,18 @@ def test_totals_hold_those_between_valid_bars(spark, small):
     assert [d[0] for d in cur.description] == df.columns
     want = set(map(tuple, cur.fetchall()))
     assert want and want <= got
+
+
+def test_bitemporal_uses_what_was_known_before_each_session(spark, tmp_path):
+    days = calendar(60)
+    spans = [("a", "OLD", None, None, 4), ("a", "NEW", days[10], None, 30), ("a", "TIE", days[20], days[40], 30), ("b", "B", days[5], days[8], 6), ("c", "C", days[0], days[3], 50)]
+    history = [{"security_id": s, "ticker": x, "effective_from": f, "effective_to": t, "source_asof": days[k]} for s, x, f, t, k in spans]
+    got = {(r["day"], r["security_id"]): (r["ticker"], r["tickers"]) for r in rows(spark, "j08_j15_bitemporal", write(tmp_path, symbol_history=history, trading_sessions=session_rows(days)))}
+    want = {}
+    for d in days:
+        for s in "abc":
+            known = [(k, x) for q, x, f, t, k in spans if q == s and (f or d) <= d <= (t or d) and days[k] < d]
+            best = {x for k, x in known if k == max(known)[0]}
+            if best:
+                want[d.isoformat(), s] = (min(best), len(best))
+    assert got == want and len(want) > 50

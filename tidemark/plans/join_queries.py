@@ -101,9 +101,10 @@ def j07_proj08_coverage(spark, at):
 @query(f"""WITH {H}, e AS (SELECT DISTINCT CAST(session_date AS DATE) AS d FROM trading_sessions WHERE session_no % 50 = 1), r AS (SELECT e.d, h.*, rank() OVER (PARTITION BY d, security_id ORDER BY source_asof DESC) AS k FROM e JOIN h ON d BETWEEN f AND t AND source_asof < d + 700)
 SELECT strftime(d, '%Y-%m-%d') AS day, security_id, min(ticker) AS ticker, count(DISTINCT ticker) AS tickers FROM r WHERE k = 1 GROUP BY ALL""")
 def j08_j15_bitemporal(spark, at):
-    """The value valid on a day among those known by then (here with 700 days of grace), latest knowledge first; conflicts are counted."""
-    days = sessions(spark, at).where("session_no % 50 = 1").select(F.col("session_date").alias("d"))
-    hit = history(spark, at).join(F.broadcast(days), F.col("d").between(F.col("f"), F.col("t")) & (F.col("source_asof") < F.date_add("d", 700)))
+    """The value valid on each session among those known before it, latest knowledge first; conflicts are counted."""
+    days = sessions(spark, at).select(F.col("session_date").alias("d"))
+    known = broadcast_if_bounded(days, load(spark, at, "trading_sessions"))
+    hit = history(spark, at).join(known, F.col("d").between(F.col("f"), F.col("t")) & (F.col("source_asof") < F.col("d")))
     best = hit.withColumn("k", F.rank().over(Window.partitionBy("d", "security_id").orderBy(F.col("source_asof").desc()))).where("k = 1")
     return best.groupBy(F.date_format("d", "yyyy-MM-dd").alias("day"), "security_id").agg(F.min("ticker").alias("ticker"), F.countDistinct("ticker").alias("tickers"))
 
