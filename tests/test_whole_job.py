@@ -90,3 +90,35 @@ def test_bitemporal_uses_what_was_known_before_each_session(spark, tmp_path):
             if best:
                 want[d.isoformat(), s] = (min(best), len(best))
     assert got == want and len(want) > 50
+
+
+def test_membership_of_every_session(spark, tmp_path):
+    days = calendar(30)
+    full, left = "MONTH_END", "FORCED_EXIT"
+    events = [(1, "a", True, full), (1, "b", True, full), (3, "b", False, left), (6, "a", True, full), (6, "b", True, full), (6, "c", False, full), (13, "a", False, left), (25, "a", True, full)]
+    table = [{"date": days[k], "security_id": s, "active": x, "snapshot_type": kind, "knowledge_date": days[k]} for k, s, x, kind in events]
+    bars = [bar(s, d, 10.0) for s in "ab" for i, d in enumerate(days) if (s, i) not in {("a", 8), ("b", 14)}]
+    at = write(tmp_path, pit_membership=table, coverage_bars=bars, trading_sessions=session_rows(days))
+    member = {}
+    for i in range(30):
+        snap = max((k for k, _, _, kind in events if kind == full and k <= i), default=None)
+        gone = {s for k, s, _, kind in events if kind == left and snap is not None and snap < k <= i}
+        member[i] = {s for k, s, x, kind in events if k == snap and kind == full and x} - gone
+    got = {(r["day"], r["security_id"]) for r in rows(spark, "j04_j05_j06_membership", at)}
+    assert got == {(days[i].isoformat(), s) for i, m in member.items() for s in m}
+    got = {r["day"]: (r["expected"], r["observed"]) for r in rows(spark, "j07_proj08_coverage", at)}
+    assert got == {days[i].isoformat(): (len(m), len(m - {s for s, k in (("a", 8), ("b", 14)) if k == i})) for i, m in member.items() if m}
+    got = {r["session_no"]: (r["members"], r["joined"]) for r in rows(spark, "u06_u12_membership_flow", at)}
+    assert got == {i + 1: (len(m), len(m - member.get(i - 1, set()))) for i, m in member.items() if m}
+    assert got[7] == (2, 1)
+
+
+@pytest.mark.parametrize("name", ["j04_j05_j06_membership", "j07_proj08_coverage"])
+def test_tenth_sessions_stay_as_in_the_sql(spark, small, name):
+    """The SQL keeps each tenth session; the query agrees there and has the others too."""
+    df = QUERIES[name](spark, small)
+    got = {tuple(r) for r in df.collect()}
+    cur = duck(small).execute(SQL[name])
+    assert [d[0] for d in cur.description] == df.columns
+    want = set(map(tuple, cur.fetchall()))
+    assert want == {r for r in got if r[0] in {w[0] for w in want}} and len({r[0] for r in got}) > 9 * len({r[0] for r in want})

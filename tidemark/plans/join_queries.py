@@ -70,13 +70,13 @@ a AS (SELECT d, session_no, s.snap, c.security_id FROM s JOIN c ON c.snap = s.sn
 
 
 def members(spark: SparkSession, at: str):
-    """(d, session_no, snap, security_id): members on every tenth session, by replay of snapshots and removals."""
+    """(d, session_no, snap, security_id): members on every session, by replay of snapshots and removals."""
     kind = F.coalesce(F.upper(F.trim("snapshot_type")), F.lit(""))
     m = load(spark, at, "pit_membership", "date", "security_id", "active", "snapshot_type", "knowledge_date").withColumn("kind", kind)
     state = m.where("kind <> 'FORCED_EXIT'").groupBy("date", "security_id").agg(F.max(F.struct("knowledge_date", F.coalesce("active", F.lit(False)).alias("a"))).alias("s")).where("s.a")
     complete = m.where("kind <> 'FORCED_EXIT'").select(F.col("date").alias("snap")).distinct()
     following = complete.withColumn("until", F.coalesce(F.date_sub(F.lead("snap").over(Window.partitionBy().orderBy("snap")), 1), date(LAST)))
-    days = sessions(spark, at).where("session_no % 10 = 0").select(F.col("session_date").alias("d"), "session_no")
+    days = sessions(spark, at).select(F.col("session_date").alias("d"), "session_no")
     # both sides have at most a row per day of the calendar
     s = days.join(broadcast_if_bounded(following), F.col("d").between(F.col("snap"), F.col("until"))).select("d", "session_no", "snap")
     now = broadcast_if_bounded(s).join(state.select(F.col("date").alias("snap"), "security_id"), "snap")
@@ -86,7 +86,7 @@ def members(spark: SparkSession, at: str):
 
 @query(f"WITH {MEMBERS} SELECT strftime(d, '%Y-%m-%d') AS day, security_id FROM a")
 def j04_j05_j06_membership(spark, at):
-    """Members on every tenth session: the latest complete snapshot less the removals since."""
+    """Members on every session: the latest complete snapshot less the removals since."""
     return members(spark, at).select(F.date_format("d", "yyyy-MM-dd").alias("day"), "security_id")
 
 
@@ -277,9 +277,9 @@ def u02_month_replacement(spark, at):
 
 @query(f"WITH {MEMBERS} SELECT CAST(session_no AS BIGINT) AS session_no, count(*) AS members, CAST(coalesce(sum(CASE WHEN b THEN 0 ELSE 1 END), 0) AS BIGINT) AS joined FROM (SELECT session_no, security_id, lag(session_no) OVER (PARTITION BY security_id ORDER BY session_no) = session_no - 10 AS b0, coalesce(lag(session_no) OVER (PARTITION BY security_id ORDER BY session_no) = session_no - 10, false) AS b FROM a) GROUP BY 1")
 def u06_u12_membership_flow(spark, at):
-    """Members and newcomers of every tenth session, from the replayed timeline."""
+    """Members and newcomers of every session, from the replayed timeline."""
     a = members(spark, at).withColumn("_b", F.lag("session_no").over(Window.partitionBy("security_id").orderBy("session_no")))
-    came = ~F.coalesce(F.col("_b") == F.col("session_no") - 10, F.lit(False))
+    came = ~F.coalesce(F.col("_b") == F.col("session_no") - 1, F.lit(False))
     return a.groupBy(F.col("session_no").cast("bigint").alias("session_no")).agg(F.count(F.lit(1)).alias("members"), F.count_if(came).alias("joined"))
 
 
