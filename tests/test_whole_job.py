@@ -122,3 +122,18 @@ def test_tenth_sessions_stay_as_in_the_sql(spark, small, name):
     assert [d[0] for d in cur.description] == df.columns
     want = set(map(tuple, cur.fetchall()))
     assert want == {r for r in got if r[0] in {w[0] for w in want}} and len({r[0] for r in got}) > 9 * len({r[0] for r in want})
+
+
+def test_reindexing_spans_all_sessions_and_securities(spark, tmp_path):
+    days = calendar(130)
+    bars = [bar("early", d, 1.0) for d in days[:120]] + [bar("later", d, 2.0) for d in days[50::2]] + [bar("last", days[-1], 3.0), bar("empty", days[7], math.nan)]
+    got = {r["security_id"]: (r["slots"], r["filled"]) for r in rows(spark, "proj19_reindex", write(tmp_path, coverage_bars=bars, trading_sessions=session_rows(days)))}
+    assert got == {"early": (130, 120), "later": (130, 40), "last": (130, 1), "empty": (130, 0)}
+
+
+def test_every_session_is_expected(spark, tmp_path):
+    days = calendar(50)
+    seen = [("x", days[0]), ("x", days[45]), ("x", days[45]), ("x", days[49] + dt.timedelta(days=40)), ("y", days[41]), ("z", None)]
+    documents = [{"doc_id": i, "ticker": t, "observed_at": d and dt.datetime.combine(d, dt.time(12))} for i, (t, d) in enumerate(seen)]
+    got = {r["ticker"]: (r["expected"], r["seen"]) for r in rows(spark, "e16_expected_slots", write(tmp_path, documents=documents, trading_sessions=session_rows(days)))}
+    assert got == {"x": (50, 2), "y": (50, 1), "z": (50, 0)}

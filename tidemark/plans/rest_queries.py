@@ -234,12 +234,12 @@ def proj01_proj02_proj11_normalise(spark, at):
 
 @query(f"""WITH {BARS_SQL}, s AS (SELECT DISTINCT security_id FROM bars WHERE session_no <= 5) SELECT s.security_id, count(*) AS slots, count(close) AS filled FROM s CROSS JOIN trading_sessions t LEFT JOIN bars b ON b.security_id = s.security_id AND b.session_no = t.session_no WHERE t.session_no <= 100 GROUP BY 1""")
 def proj19_reindex(spark, at):
-    """Early securities on an exact axis of a hundred sessions, the missing ones counted."""
-    b = bars(spark, at, "close").where("session_no <= 100")
-    s = b.where("session_no <= 5").select("security_id").distinct()
-    axis = s.select("security_id", F.explode(F.sequence(F.lit(1), F.lit(100))).alias("session_no"))
-    last = sessions(spark, at).agg(F.max("session_no").alias("_m"))
-    return axis.join(F.broadcast(last), F.col("session_no") <= F.col("_m")).join(b, ["security_id", "session_no"], "left").groupBy("security_id").agg(F.count(F.lit(1)).alias("slots"), F.count("close").alias("filled"))
+    """Every security on the exact axis of all sessions, the missing ones counted."""
+    b = bars(spark, at, "close")
+    # the calendar as one row
+    whole = sessions(spark, at).agg(F.collect_set(F.col("session_no").cast("int")).alias("_axis"))
+    axis = b.select("security_id").distinct().join(F.broadcast(whole)).select("security_id", F.explode("_axis").alias("session_no"))
+    return axis.join(b, ["security_id", "session_no"], "left").groupBy("security_id").agg(F.count(F.lit(1)).alias("slots"), F.count("close").alias("filled"))
 
 
 @query(f"""WITH {BARS_SQL}, q AS (SELECT security_id, min(session_no) AS f FROM bars GROUP BY 1), m AS (SELECT date, security_id, ticker, active FROM (SELECT DISTINCT ON (security_id) date, security_id, ticker, active FROM pit_membership WHERE security_id IS NOT NULL ORDER BY security_id, date, knowledge_date, ticker, active))
