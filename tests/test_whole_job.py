@@ -2,7 +2,9 @@
 
 import datetime as dt
 import math
+import random
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
@@ -137,3 +139,16 @@ def test_every_session_is_expected(spark, tmp_path):
     documents = [{"doc_id": i, "ticker": t, "observed_at": d and dt.datetime.combine(d, dt.time(12))} for i, (t, d) in enumerate(seen)]
     got = {r["ticker"]: (r["expected"], r["seen"]) for r in rows(spark, "e16_expected_slots", write(tmp_path, documents=documents, trading_sessions=session_rows(days)))}
     assert got == {"x": (50, 2), "y": (50, 1), "z": (50, 0)}
+
+
+def test_average_correlation_of_every_session(spark, tmp_path):
+    days, rng, names = calendar(45), random.Random(5), "abcdef"
+    price = {s: np.cumprod([100.0] + [1 + rng.uniform(-0.05, 0.05) for _ in days[1:]]) for s in names}
+    bars = [bar(s, d, float(price[s][i])) for s in names for i, d in enumerate(days) if s != "f" or i >= 10]
+    got = {r["session_no"]: (r["members"], r["correlation"]) for r in rows(spark, "w27_average_correlation", write(tmp_path, coverage_bars=bars, trading_sessions=session_rows(days)))}
+    ret = {s: price[s][1:] / price[s][:-1] - 1 for s in names}
+    assert sorted(got) == list(range(21, 46))
+    for no, (members, correlation) in got.items():
+        whole = [s for s in names if s != "f" or no >= 31]
+        pairs = np.corrcoef([ret[s][no - 21 : no - 1] for s in whole])[np.triu_indices(len(whole), 1)]
+        assert members == len(whole) and correlation == pytest.approx(pairs.mean(), abs=2e-6)

@@ -260,10 +260,10 @@ def w26_first_touch(spark, at):
 t AS (SELECT day, session_no, sum(z) AS s, sum(z * z) AS q, count(*) AS n FROM w GROUP BY ALL)
 SELECT day AS session_no, max(n) AS members, round(sum(s * s - q) / (19.0 * max(n) * (max(n) - 1)), 6) + 0.0 AS correlation FROM t GROUP BY day HAVING max(n) > 1"""))
 def w27_average_correlation(spark, at):
-    """Average pairwise correlation over 20 sessions from sums of z-scores: no pair is formed. Every 20th session."""
+    """Average pairwise correlation over 20 sessions from sums of z-scores: no pair is formed."""
     w = S.frame(20)
     df = returns(spark, at).withColumns({"_m": F.avg("ret").over(w), "_s": F.stddev_samp("ret").over(w), "_n": F.count("ret").over(w), "_r": F.collect_list(F.struct("session_no", "ret")).over(w)})
-    z = df.where("_n = 20 AND _s > 0 AND session_no % 20 = 0").select(F.col("session_no").alias("_at"), F.explode("_r").alias("_x"), "_m", "_s")
+    z = df.where("_n = 20 AND _s > 0").select(F.col("session_no").alias("_at"), F.explode("_r").alias("_x"), "_m", "_s")
     days = z.select("_at", F.col("_x.session_no").alias("_d"), ((F.col("_x.ret") - F.col("_m")) / F.col("_s")).alias("_z"))
     sums = days.groupBy("_at", "_d").agg(F.sum("_z").alias("_s"), F.sum(F.col("_z") * F.col("_z")).alias("_q"), F.count("_z").alias("_n"))
     n = F.max("_n")
