@@ -70,7 +70,7 @@ def a04_a05_quality(spark, at):
 SELECT session_no, sector, grp, count(*) AS n, {r('sum(cap * ret) FILTER (ret IS NOT NULL) / nullif(sum(cap) FILTER (ret IS NOT NULL), 0)', 'weighted')} FROM c GROUP BY GROUPING SETS ((session_no, sector, grp), (session_no, sector), (session_no))""")
 def a06_a07_rollup(spark, at):
     """Size-weighted returns of groups, sectors and the whole by one roll-up; missing returns give their weight to the others."""
-    c = returns(spark, at).where("session_no % 20 = 0 AND close > 0 AND volume > 0").withColumn("cap", F.when(F.col("ret").isNotNull(), F.col("close") * F.col("volume"))).withColumn("sector", F.substring("security_id", 5, 1))
+    c = returns(spark, at).where("close > 0 AND volume > 0").withColumn("cap", F.when(F.col("ret").isNotNull(), F.col("close") * F.col("volume"))).withColumn("sector", F.substring("security_id", 5, 1))
     rolled = c.groupingSets([["session_no", "sector", "grp"], ["session_no", "sector"], ["session_no"]], "session_no", "sector", "grp")
     return rolled.agg(F.count(F.lit(1)).alias("n"), r6(F.sum(F.col("cap") * F.col("ret")) / F.nullif(F.sum("cap"), F.lit(0.0))).alias("weighted"))
 

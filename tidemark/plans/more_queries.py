@@ -216,7 +216,7 @@ def w28_g26_momentum_legs(spark, at):
 s AS (SELECT session_no, g, m, rank() OVER (PARTITION BY session_no ORDER BY m) AS q FROM m) SELECT session_no, {r('regr_slope(m, g)', 'slope')}, {r('corr(g, q)', 'monotone')} FROM s GROUP BY 1 HAVING count(*) = 5""")
 def a16_g16_monotonicity(spark, at):
     """Slope and rank correlation of groups' means over their numbers."""
-    k = returns(spark, at, "close").where("close > 0 AND ret IS NOT NULL AND session_no % 5 = 0").withColumn("g", F.ntile(5).over(Window.partitionBy("session_no").orderBy("close", "security_id")))
+    k = returns(spark, at, "close").where("close > 0 AND ret IS NOT NULL").withColumn("g", F.ntile(5).over(Window.partitionBy("session_no").orderBy("close", "security_id")))
     m = k.groupBy("session_no", "g").agg(F.avg("ret").alias("m"))
     s = m.withColumn("q", F.rank().over(Window.partitionBy("session_no").orderBy("m")))
     out = s.groupBy("session_no").agg(F.count(F.lit(1)).alias("n"), r6(F.regr_slope("m", "g")).alias("slope"), r6(xsec.correlation(F.col("g").cast("double"), F.col("q").cast("double"))).alias("monotone"))

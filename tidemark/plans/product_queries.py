@@ -39,10 +39,16 @@ z AS (SELECT *, (x - avg(x) OVER g) / nullif(stddev_samp(x) OVER g, 0) AS z FROM
 
 
 @query(f"""WITH {FACTORS} SELECT security_id, session_no, factor_id, round(raw, 6) + 0.0 AS raw, round(z, 6) + 0.0 AS clean, rank() OVER (PARTITION BY factor_id, session_no ORDER BY round(z * dir, 9) DESC) AS rank FROM z WHERE z IS NOT NULL""")
-def c01_factor_block(spark, at):
-    """From bars to ranked factors: registered factors over one panel, clipped, standardised and ranked by their sign."""
+def c01_factor_block(spark, at, month_ends=False):
+    """From bars to ranked factors: registered factors over one panel, clipped, standardised and ranked by their sign; of every session, or of each month's last one."""
+    from tidemark.plans.base import sessions
+
     df = panel(spark, at, "adj_close", "volume").withColumn("ret", series.change("adj_close"))
-    long = fn.factor_values(df, ["MOM_1M", "VOL_20D"]).where("session_no % 10 = 0 AND value IS NOT NULL")
+    long = fn.factor_values(df, ["MOM_1M", "VOL_20D"]).where("value IS NOT NULL")
+    if month_ends:
+        # a row per month of the calendar
+        output = sessions(spark, at).groupBy(F.trunc("session_date", "month")).agg(F.max("session_no").alias("session_no")).select("session_no")
+        long = long.join(F.broadcast(output), "session_no", "left_semi")
     by = ["factor_id", "session_no"]
     z = xsec.zscore(xsec.winsorize_mad(long, "value", by, "_w"), "_w", by, "z").where(F.col("z").isNotNull())
     best = Window.partitionBy(*by).orderBy(F.round(F.col("z") * F.col("direction"), 9).desc())

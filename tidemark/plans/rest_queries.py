@@ -96,7 +96,7 @@ SELECT session_no, security_id, {r('score', 'score')}, rank, grp, {r('next / cou
 def l18_l19_l20_c16_replay(spark, at):
     """Per decision day and security: score, rank, group and contribution to the group's next return; filtered by day or security it answers both."""
     s = panel(spark, at, "adj_close", "close").withColumn("ret", series.change("adj_close")).withColumns({"score": series.change("close", 20), "next": F.lead("ret").over(series.by_security())})
-    s = s.where("score IS NOT NULL AND session_no % 10 = 0")
+    s = s.where("score IS NOT NULL")
     w = Window.partitionBy("session_no")
     k = s.withColumns({"rank": F.rank().over(w.orderBy(F.col("score").desc())), "grp": F.ntile(5).over(w.orderBy("score", "security_id"))})
     return k.select("session_no", "security_id", r6(F.col("score")).alias("score"), "rank", "grp", r6(F.col("next") / F.count(F.lit(1)).over(Window.partitionBy("session_no", "grp"))).alias("contribution"))
