@@ -35,10 +35,12 @@ NAMES = {
 
 _TAG = regex.compile(r"<[a-zA-Z/!][^<>]*>")
 #: a unit ends behind a full stop before space or wide characters, behind a wide full stop, and at the end of a line
-_UNIT = regex.compile(r"[^\n]+?(?:[.!?;](?=\s|[぀-鿿])|[。！？；]|(?=\n)|$)")
+_END = regex.compile(r"[.!?;](?=\s|[぀-鿿])|[。！？；]|\n|\Z")
 #: short words in capitals among others, such as tickers, belong to no language
 _CAPITALS = regex.compile(r"\b[A-Z][A-Z0-9.]{1,5}\b")
 _WIDE = regex.compile(r"[぀-ヿ㐀-䶿一-鿿豈-﫿]")
+#: letters of scripts in which none of the languages is written
+_FOREIGN = regex.compile(r"[\u0370-\u1dff\uac00-\ud7af]")
 
 
 def label_language(label: Column) -> Column:
@@ -76,9 +78,17 @@ def units(text: str, chars: int) -> list[tuple[int, int, bool]]:
     """(start, end, begins a sentence) of the units of a text; longer sentences are cut at spaces, without spaces after ``chars`` characters."""
     if "<" in text:
         text = _TAG.sub(lambda m: " " * len(m[0]), text)
+    wide = _WIDE.search(text) is not None
     found = []
-    for m in _UNIT.finditer(text):
-        start, end = m.span()
+    upto = 0
+    for m in _END.finditer(text):
+        end, behind = m.span()
+        if end < behind and text[end] != "\n":
+            # a stop that nothing precedes ends nothing
+            if end == upto:
+                continue
+            end = behind
+        start, upto = upto, behind
         while start < end and text[start].isspace():
             start += 1
         if start == end:
@@ -87,7 +97,7 @@ def units(text: str, chars: int) -> list[tuple[int, int, bool]]:
         while end - start > chars / 2:
             # a wide character says as much as three others
             near = min(end, start + 2 * chars)
-            limit = max(chars * (near - start) // (near - start + 2 * len(_WIDE.findall(text, start, near))), 1)
+            limit = max(chars * (near - start) // (near - start + 2 * len(_WIDE.findall(text, start, near))), 1) if wide else chars
             if end - start <= limit * 1.5:
                 break
             cut = text.find(" ", start + limit, min(end, start + limit * 2))
@@ -111,16 +121,26 @@ class Spectrum:
     @staticmethod
     def _plain(text: str) -> str:
         plain = _CAPITALS.sub(" ", text)
-        return plain if any(c.islower() or c > "\u3000" for c in plain) else text
+        return plain if plain == text or any(c.islower() or c > "\u3000" for c in plain) else text
 
-    def vectors(self, texts: Sequence[str]) -> np.ndarray:
-        """A normalised row per text; a text without letters is a row of zeros. Digits count as spaces."""
+    @property
+    def values(self) -> np.ndarray:
+        """What a column holds where it is present."""
+        return np.append(np.repeat(self.root, self.width), np.full(9, self.script, dtype=np.float32))
+
+    def present(self, texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(row, column) of what each text holds, ordered by row, each pair once. A text without letters holds nothing. Digits count as spaces."""
         joined = "\x00".join(f" {' '.join(self._plain(t).lower().split())} " for t in texts)
         code = np.frombuffer(joined.encode("utf-32-le", "replace"), dtype=np.uint32).astype(np.uint64)
         code = np.where((code >= 48) & (code <= 57), np.uint64(32), code)
         ends = code == 0
         row = np.cumsum(ends) - ends
-        x = np.zeros((len(texts), self.columns), dtype=np.float32)
+        # without a letter, spaces and punctuation say nothing
+        letters = np.zeros(len(texts) + 1, dtype=bool)
+        letters[row[(code > 64) & ~ends]] = True
+        ends = ends | ~letters[row]
+        base = row * self.columns
+        held = []
         with np.errstate(over="ignore"):
             gram = np.zeros(len(code), dtype=np.uint64)
             bad = np.zeros(len(code), dtype=bool)
@@ -139,16 +159,20 @@ class Spectrum:
                 if order == 1:
                     keep &= code[: len(keep)] > 64
                 column = ((gram * self.prime[-1]) >> np.uint64(40)) % np.uint64(self.width)
-                x[row[: len(keep)][keep], (column[keep] + np.uint64(i * self.width)).astype(np.int64)] = self.root[i]
+                held.append((base[: len(keep)] + column.astype(np.int64) + i * self.width)[keep])
         # Chinese characters, kana, and their neighbours of both kinds
         kind = np.where((code >= 0x3400) & (code <= 0x9FFF), 1, np.where((code >= 0x3041) & (code <= 0x30FA), 2, 0))
         pair = kind[:-1] * 3 + kind[1:]
         both = (pair > 3) & (pair != 6) & ~ends[:-1]
-        x[row[:-1][both], len(self.orders) * self.width + pair[both]] = self.script
-        # without a letter, spaces and punctuation say nothing
-        letters = np.zeros(len(texts), dtype=bool)
-        letters[np.unique(row[(code > 64) & ~ends])] = True
-        x[~letters] = 0
+        held.append(base[:-1][both] + len(self.orders) * self.width + pair[both])
+        held = np.sort(np.concatenate(held).astype(np.int32 if len(texts) * self.columns < 2**31 else np.int64))
+        return np.divmod(held[np.append(True, held[1:] != held[:-1])[: len(held)]], self.columns)
+
+    def vectors(self, texts: Sequence[str]) -> np.ndarray:
+        """A normalised row per text, as a whole matrix; for the few units of a fit."""
+        x = np.zeros((len(texts), self.columns), dtype=np.float32)
+        row, column = self.present(texts)
+        x[row, column] = self.values[column]
         norm = np.sqrt(np.einsum("ij,ij->i", x, x))
         return x / np.maximum(norm, 1e-9)[:, None]
 
@@ -161,8 +185,19 @@ class Classifier:
     weights: np.ndarray
     settings: Settings
 
-    def scores(self, texts: Sequence[str], spectrum: Spectrum) -> np.ndarray:
-        return spectrum.vectors(texts) @ self.weights
+    def scores(self, texts: Sequence[str], spectrum: Spectrum, block: int = 128) -> np.ndarray:
+        """``vectors(texts) @ weights``, of which only the columns that a text holds are touched, in blocks whose marks stay in the cache."""
+        values = spectrum.values
+        scaled, squares = self.weights * values[:, None], (values * values).astype(float)
+        out = np.zeros((len(texts), self.weights.shape[1]), dtype=np.float32)
+        for i in range(0, len(texts), block):
+            part = texts[i : i + block]
+            row, column = spectrum.present(part)
+            if len(row):
+                starts = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
+                norm = np.sqrt(np.add.reduceat(squares[column], starts))
+                out[i + row[starts]] = np.add.reduceat(scaled[column], starts) / norm[:, None]
+        return out
 
 
 def fit(labelled: Sequence[tuple[str, str]], settings: Settings, rounds: int = 3, block: int = 256) -> Classifier:
@@ -199,6 +234,9 @@ def _best_path(scores: np.ndarray, size: np.ndarray, first: np.ndarray, settings
     """The language of each unit: the path with the greatest sum of scores, weighted by size, less the penalties of its changes."""
     gain = scores * np.minimum(size / settings.unit_chars, 1.5)[:, None]
     n, languages = gain.shape
+    own = gain.argmax(axis=1)
+    if (own == own[0]).all():
+        return own
     total, back = gain[0].copy(), np.zeros((n, languages), dtype=np.int64)
     for i in range(1, n):
         best = int(total.argmax())
@@ -220,16 +258,17 @@ def passages(text: str, spans: Sequence[tuple[int, int, bool]], scores: np.ndarr
     if not len(spans):
         return []
     size = np.array([e - s for s, e, _ in spans], dtype=float)
-    weight = size + 2.0 * np.array([len(_WIDE.findall(text, s, e)) for s, e, _ in spans])
+    weight = size + 2.0 * np.array([len(_WIDE.findall(text, s, e)) for s, e, _ in spans]) if _WIDE.search(text) else size
     path = _best_path(scores, weight, np.array([f for *_, f in spans]), model.settings)
     found, i = [], 0
     while i < len(path):
         j = i
         while j + 1 < len(path) and path[j + 1] == path[i]:
             j += 1
-        mean = np.average(scores[i : j + 1], axis=0, weights=size[i : j + 1])
+        chars = size[i : j + 1].sum()
+        mean = size[i : j + 1] @ scores[i : j + 1] / chars
         odds = np.exp((mean - mean.max()) / model.settings.temperature)
-        found.append((spans[i][0], spans[j][1], model.languages[path[i]], float(odds[path[i]] / odds.sum()), int(size[i : j + 1].sum())))
+        found.append((spans[i][0], spans[j][1], model.languages[path[i]], float(odds[path[i]] / odds.sum()), int(chars)))
         i = j + 1
     return found
 
@@ -261,6 +300,8 @@ def labelled_passages(texts: Iterable[str | None], model: Classifier, batch: int
         for text, spans in waiting:
             own, at = scores[at : at + len(spans)], at + len(spans)
             lettered = np.abs(own).sum(axis=1) > 0
+            if _FOREIGN.search(text):
+                lettered &= [2 * len(_FOREIGN.findall(text, s, e)) <= sum(map(str.isalpha, text[s:e])) for s, e, _ in spans]
             yield passages(text, [x for x, ok in zip(spans, lettered, strict=True) if ok], own[lettered], model)
 
     for text in texts:
@@ -308,16 +349,20 @@ def fit_documents(documents: DataFrame, document_id: str = "doc_id", text: str =
     return fit(sample_units(documents, document_id, text, label, settings), settings)
 
 
-def document_passages(documents: DataFrame, model: Classifier, document_id: str = "doc_id", text: str = "text", keep: Sequence[str] = ()) -> DataFrame:
+def document_passages(documents: DataFrame, model: Classifier, document_id: str = "doc_id", text: str = "text", keep: Sequence[str] = (), detail: bool = True) -> DataFrame:
     """(document_id, keep..., passages, languages) for each row: passages with start, end, language, confidence and
     characters, and the languages that count with their confidence. NULL and empty texts, and those without
-    letters, have neither. Texts are read whole, in place.
+    letters, have neither; units written mostly in a script of none of the languages belong to no passage. Among
+    languages of its own scripts the set is closed: the confidence tells how sure the choice is. Texts are read
+    whole, in place. Without ``detail`` the passages are left out.
     """
     shared = documents.sparkSession.sparkContext.broadcast(model)
     kept = [document_id, *keep]
     types = dict(documents.dtypes)
     schema = ", ".join(f"`{c}` {types[c]}" for c in kept)
-    schema += ", passages array<struct<start:int,end:int,language:string,confidence:double,chars:int>>, languages map<string,double>"
+    if detail:
+        schema += ", passages array<struct<start:int,end:int,language:string,confidence:double,chars:int>>"
+    schema += ", languages map<string,double>"
 
     def label(batches):
         import pyarrow as pa
@@ -329,8 +374,8 @@ def document_passages(documents: DataFrame, model: Classifier, document_id: str
             for i in range(0, b.num_rows, 256):
                 rows = b.slice(i, 256)
                 found = list(labelled_passages(rows.column(len(kept)).to_pylist(), model))
-                lists = pa.array([[dict(zip(names, p, strict=True)) for p in own] for own in found], part)
+                lists = [pa.array([[dict(zip(names, p, strict=True)) for p in own] for own in found], part)] if detail else []
                 counted = pa.array([list(counted_languages(own, model.settings).items()) for own in found], pa.map_(pa.string(), pa.float64()))
-                yield pa.RecordBatch.from_arrays([*rows.columns[: len(kept)], lists, counted], [*kept, "passages", "languages"])
+                yield pa.RecordBatch.from_arrays([*rows.columns[: len(kept)], *lists, counted], [*kept, *(["passages"] if detail else []), "languages"])
 
     return documents.select(*kept, text).mapInArrow(label, schema)

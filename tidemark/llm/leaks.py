@@ -13,7 +13,9 @@ import bisect
 import math
 from collections import defaultdict
 from collections.abc import Iterable, Iterator, Sequence
+from functools import lru_cache
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -75,6 +77,14 @@ def _diagonals(hits: Iterable[Hit], slack: int, n: int) -> Iterator[tuple[int, i
                 break
 
 
+def _longest_rise(worth: np.ndarray) -> int:
+    """The greatest ``j - i`` with ``worth[j] >= worth[i]``: no longer stretch can pass, so that most items need no window at all."""
+    lowest, highest = np.minimum.accumulate(worth), np.maximum.accumulate(worth[::-1])[::-1]
+    # for each end j, the first i whose running minimum is not above worth[j]; only ends that no later one tops can be longest
+    first = len(worth) - np.searchsorted(lowest[::-1], highest, "right")
+    return int((np.arange(len(worth)) - first).max())
+
+
 def repeats(item: Sequence[str], document: Sequence[str], hits: Iterable[Hit], share: float = 0.5, errors: int = 10) -> int:
     """Words of the longest stretch of ``item`` (at least ``share`` of it) found within the error budget; 0 if there is none."""
     n = len(item)
@@ -88,13 +98,13 @@ def repeats(item: Sequence[str], document: Sequence[str], hits: Iterable[Hit], s
         for i, w in enumerate(item):
             found = w in document[max(i + low, 0) : max(i + high + 1, 0)]
             worth.append(worth[-1] + (1 if found else 1 - errors))
-        for length in range(n, least - 1, -1):
-            for i in range(n - length + 1):
-                if worth[i + length] >= worth[i]:
-                    budget = length // errors
-                    text = document[max(i + low - budget, 0) : max(i + length + high + budget, 0)]
-                    if edit_distance_within(item[i : i + length], text) <= budget:
-                        return length
+        worth = np.array(worth)
+        for length in range(_longest_rise(worth), least - 1, -1):
+            for i in np.flatnonzero(worth[length:] >= worth[: n - length + 1]).tolist():
+                budget = length // errors
+                text = document[max(i + low - budget, 0) : max(i + length + high + budget, 0)]
+                if edit_distance_within(item[i : i + length], text) <= budget:
+                    return length
     return 0
 
 
@@ -144,6 +154,12 @@ class ItemIndex:
         return found
 
 
+@lru_cache(maxsize=2)
+def _index(shared, share: float, errors: int) -> ItemIndex:
+    """The index of a broadcast block; a worker process builds it once, however many tasks it runs."""
+    return ItemIndex(shared.value, share, errors)
+
+
 def leaked_items(
     documents: DataFrame,
     items: DataFrame,
@@ -158,8 +174,8 @@ def leaked_items(
 ) -> DataFrame:
     """(document_id, item_id, words): documents that repeat a passage of at least ``share`` of an item's words, a row per pair.
 
-    Texts are read once per block of ``block_items`` items, whole, in place, and never shuffled; only a
-    block's items go to the tasks. Items and documents that are NULL, empty or without words leak nothing.
+    Texts are read once per block of ``block_items`` items, whole, in place, and not shuffled here; only a
+    block's items go to the tasks, through the driver: items are test material, of a bounded number. Items and documents that are NULL, empty or without words leak nothing.
     Several documents of the same id count as one, with the longest passage.
     """
     spark = documents.sparkSession
@@ -175,7 +191,7 @@ def leaked_items(
         def search(batches, shared=shared):
             import pyarrow as pa
 
-            index = ItemIndex(shared.value, share, errors)
+            index = _index(shared, share, errors)
             for batch in batches:
                 rows = [(d, i, n) for d, t in zip(batch.column(0), batch.column(1), strict=True) for i, n in index.find(t.as_py())]
                 if rows:

@@ -28,22 +28,22 @@ def p7_shares(spark: SparkSession, at: str) -> DataFrame:
     return mixing.actual_shares(documents, load(spark, at, "source_targets"))
 
 
-def _languages(spark: SparkSession, at: str) -> DataFrame:
+def _languages(spark: SparkSession, at: str, detail: bool) -> DataFrame:
     documents = load(spark, at, "documents", "doc_id", "text", "lang").where("doc_id IS NOT NULL")
     model = languages.fit_documents(documents)
-    return languages.document_passages(spread(documents, "doc_id"), model, keep=("lang",))
+    return languages.document_passages(spread(documents, "doc_id"), model, keep=("lang",), detail=detail)
 
 
 def p8_found(spark: SparkSession, at: str) -> DataFrame:
     """The languages of documents whose label is missing, wrong, or one of several."""
     found = F.map_keys("languages")
     wrong = (F.size(found) > 1) | ~F.coalesce(F.array_contains(found, languages.label_language(F.col("lang"))), F.lit(False))
-    return _languages(spark, at).where(wrong).select("doc_id", F.explode(found).alias("found_lang")).distinct()
+    return _languages(spark, at, False).where(wrong).select("doc_id", F.explode(found).alias("found_lang")).distinct()
 
 
 def p8_passages(spark: SparkSession, at: str) -> DataFrame:
     """Every passage of every document with its language and confidence; start and end count characters."""
-    return _languages(spark, at).select("doc_id", F.explode("passages").alias("p")).select(
+    return _languages(spark, at, True).select("doc_id", F.explode("passages").alias("p")).select(
         "doc_id", F.col("p.start").alias("start"), F.col("p.end").alias("end"), F.col("p.language").alias("found_lang"), F.round("p.confidence", 4).alias("confidence")
     )
 
