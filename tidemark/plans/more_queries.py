@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from uuid import uuid4
 
 from pyspark.sql import SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators import series, stats, xsec
 from tidemark.plans.base import BARS_SQL, PANEL_SQL, bars, panel, r6, sessions
-from tidemark.scale import finite, shared_dir
+from tidemark.scale import finite, scratch_dir
 from tidemark.sources.tables import load
 from tidemark.sources.versions import fingerprint, read_csv
 
@@ -59,7 +58,7 @@ def s09_s12_summary(spark, at):
 @query("SELECT factor_id, strftime(date, '%Y-%m') AS month, count(*) AS rows FROM factor_values WHERE factor_id = 'MOM_1M' AND date >= DATE '2025-06-01' AND date < DATE '2025-09-01' GROUP BY ALL")
 def s10_k05_k06_partitions(spark, at):
     """Rows written by factor and month and read back from the wanted partitions only."""
-    root = f"{shared_dir(spark)}/factors-{uuid4().hex}"
+    root = scratch_dir(spark, "factors")
     f = load(spark, at, "factor_values", "factor_id", "date", "security_id").withColumn("month", F.date_format("date", "yyyy-MM"))
     f.repartition("factor_id", "month").sortWithinPartitions("date", "security_id").write.partitionBy("factor_id", "month").parquet(root)
     read = spark.read.parquet(root).where("factor_id = 'MOM_1M' AND month >= '2025-06' AND month < '2025-09'")
@@ -92,7 +91,7 @@ def u05_unpivot(spark, at):
 @query("SELECT session_no, strftime(session_date, '%Y-%m-%d') AS day, CASE WHEN session_no % 7 = 0 THEN NULL ELSE CAST(session_no AS DOUBLE) * 0.5 END AS level FROM trading_sessions")
 def s16_s21_s22_k15_csv(spark, at):
     """A table through CSV files with a fixed schema, a point for missing values."""
-    root = f"{shared_dir(spark)}/csv-{uuid4().hex}"
+    root = scratch_dir(spark, "csv")
     s = sessions(spark, at).select("session_no", day("session_date").alias("day"), F.when(F.col("session_no") % 7 != 0, F.col("session_no") * 0.5).alias("level"))
     s.write.csv(root, header=True, nullValue=".")
     return read_csv(spark, root, f"session_no {dict(s.dtypes)['session_no']}, day string, level double")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from uuid import uuid4
 
 from pyspark.sql import SparkSession, Window
 from pyspark.sql import functions as F
@@ -11,7 +10,7 @@ from tidemark import functions as fn
 from tidemark.functions import factors as _factors  # noqa: F401
 from tidemark.operators import portfolio, series, xsec
 from tidemark.plans.base import PANEL_SQL, bars, panel, r6
-from tidemark.scale import shared_dir
+from tidemark.scale import scratch_dir
 from tidemark.sources.tables import load
 from tidemark.sources.versions import VersionedTable, as_json, from_json_rows, upsert
 
@@ -189,7 +188,7 @@ def f17_f18_shares(spark, at):
 def k01_s02_versioned_table(spark, at):
     """A table written as a version partitioned by month, gated, published and read back by a range of days."""
     audit = load(spark, at, "eligibility_audit", "date", "security_id", "eligible")
-    table = VersionedTable(spark, f"{shared_dir(spark)}/audit-{uuid4().hex}", month_of="date")
+    table = VersionedTable(spark, scratch_dir(spark, "audit"), month_of="date")
     table.write(audit, "v1", {"keys": F.count_if(F.col("security_id").isNull()) == 0})
     table.publish("v1")
     return table.read(start="2025-01-15", end="2025-04-30").groupBy(F.date_format("date", "yyyy-MM-dd").alias("day")).agg(F.count(F.lit(1)).alias("rows"))

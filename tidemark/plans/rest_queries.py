@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from uuid import uuid4
 
 import numpy as np
 from pyspark.sql import SparkSession, Window
@@ -11,7 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.operators import series, xsec
 from tidemark.operators.bars import accepted
 from tidemark.plans.base import BARS_SQL, PANEL_SQL, bars, panel, r6, sessions
-from tidemark.scale import finite, shared_dir
+from tidemark.scale import finite, scratch_dir
 from tidemark.sources.tables import load
 from tidemark.sources.versions import NotPublished, VersionedTable
 
@@ -190,7 +189,7 @@ def g08_c12_certify(spark, at):
 def k02_k03_k04_k09_replace_month(spark, at):
     """A version whose gate fails is refused; the next one replaces a month of the published one and is read instead."""
     a = load(spark, at, "eligibility_audit", "date", "security_id", "eligible")
-    table = VersionedTable(spark, f"{shared_dir(spark)}/audits-{uuid4().hex}", month_of="date")
+    table = VersionedTable(spark, scratch_dir(spark, "audits"), month_of="date")
     table.write(a, "v1", {"rows": F.count(F.lit(1)) >= 0})
     table.publish("v1")
     table.write(a.limit(0), "v2", {"rows": F.count(F.lit(1)) > 0})

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
+from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,28 +24,41 @@ def broadcast_if_bounded(df: DataFrame, counted: DataFrame | None = None, max_ro
     return F.broadcast(df) if rows <= max_rows else df
 
 
-def hot_keys(df: DataFrame, key: str, rows_per_task: int, max_keys: int = 10_000) -> DataFrame:
-    """Keys with more than ``rows_per_task`` rows and the number of salts each needs: (key, salts).
+def hot_keys(df: DataFrame, key: str, rows_per_task: int) -> DataFrame:
+    """Keys (NULL is one) with more than ``rows_per_task`` rows and the number of salts each needs: (key, salts).
 
-    At most ``max_keys`` keys come out, however large ``df`` is: a key must also hold more than one
-    ``max_keys``-th of all rows, so the result may always be broadcast. All rows are counted from the file
-    footers, those of a key by a partial aggregate per task, so a hot key costs no more than any other.
+    Rows of a key are counted by a partial aggregate per task, so a hot key costs no more than any other. The
+    result is written once; there is at most a row per ``rows_per_task`` rows of ``df``.
     """
-    least = max(rows_per_task, df.count() // max_keys)
     counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("_rows"))
-    return counts.where(F.col("_rows") > least).select(key, F.ceil(F.col("_rows") / rows_per_task).cast("int").alias("salts"))
+    return cut_lineage(counts.where(F.col("_rows") > rows_per_task).select(key, F.ceil(F.col("_rows") / rows_per_task).cast("int").alias("salts")))
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share (spark.checkpoint.dir); where it is unset, a folder of this machine."""
+    """The folder that all executors share (spark.checkpoint.dir).
+
+    Where it is unset, a local session gets a folder of its machine, removed when the process ends; a cluster
+    has no such folder, so there it is an error.
+    """
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         at = tempfile.mkdtemp(prefix="tidemark-")
+        atexit.register(shutil.rmtree, at, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", at)
         spark.sparkContext.setCheckpointDir(at)
     return at
 
 
+def scratch_dir(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared one for what a query writes and reads again; it is removed when the driver ends."""
+    at = f"{shared_dir(spark)}/{name}-{uuid4().hex}"
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return at
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder once, so that later reads neither recompute it nor lose it with an executor."""
     shared_dir(df.sparkSession)

@@ -7,13 +7,12 @@ are taken in until the watermark passes; a batch over the same rows is the recon
 from __future__ import annotations
 
 from collections.abc import Iterator
-from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
-from tidemark.scale import shared_dir
+from tidemark.scale import scratch_dir
 
 
 def stream_table(spark: SparkSession, directory: str, name: str, files_per_batch: int = 8) -> DataFrame:
@@ -41,7 +40,7 @@ def run_to_end(stream: DataFrame, key: list[str] | None, mode: str, name: str) -
     writes over itself, and the last update of each key is the result. Without, rows are appended.
     """
     spark = stream.sparkSession
-    root = f"{shared_dir(spark)}/{name}-{uuid4().hex}"
+    root = scratch_dir(spark, name)
 
     def store(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{root}/out/batch={number}")
