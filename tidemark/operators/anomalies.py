@@ -4,12 +4,14 @@ An isolation forest per source scores every reading on four features: its level
 and after, its difference from the reading before, its distance from the usual value of the weekday, and the
 length of the run of equal values it stands in. The score from which a reading is suspect is calibrated per
 source: probe readings at and beyond the limits of normal behaviour are scored by the same forest, and the
-threshold lies between the usual score and the lowest of theirs. Explicit physical limits apply to every reading; the limits of
-spikes and runs are then checked on the suspect ones.
-
-All of a source's readings are scored, by as many tasks as its rows need; each of these tasks holds the
-source's accepted readings, at most one per day, fits the same forest to a bounded sample of them and scores
-its share of the rows.
+threshold lies between the usual score and the lowest of theirs, never above the latter. Explicit physical
+limits apply to every reading; the limits of spikes and runs are then checked on the suspect ones. A suspect
+reading that breaks no limit comes out as unusual, where all readings are asked for.
+
+Rows are shuffled once, by source. A task that holds all rows of a source finds its accepted readings and its
+scale itself. A source with more rows than a task should hold is split by a salt: its accepted readings, at
+most one per day, and its exact scale are made by aggregates before, and go to each of its tasks; these fit
+the same forest to a bounded sample of them, and each scores its share of the rows.
 """
 
 from __future__ import annotations
@@ -20,11 +22,11 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.bars import accepted
-from tidemark.scale import finite, hot_keys
+from tidemark.scale import broadcast_if_bounded, cut_lineage, finite, hot_keys
 
 _EULER = 0.5772156649015329
 
@@ -233,8 +235,8 @@ class Source:
             if len(sample) >= 8:
                 self.forest = IsolationForest(sample, limits.trees, limits.sample, seed, np.ones(4), np.array([0.35, 0.1, 0.15, 0.4]))
                 at_limit = self.forest.score(self._probes(np.median(sample, axis=0))).min()
-                usual = np.median(self.forest.score(sample[:: -(-len(sample) // 512)]))
-                self.threshold = usual + limits.margin * max(at_limit - usual, 0.0) - 1e-9
+                usual = np.median(self.forest.score(sample))
+                self.threshold = min(usual + limits.margin * max(at_limit - usual, 0.0), at_limit) - 1e-9
 
     def _features(self, f: int, day, value, base):
         """(features, spike, run length) of readings; features are NaN where nothing is known of normal behaviour."""
@@ -269,7 +271,7 @@ class Source:
         return probes
 
     def judge(self, day, values, base, runs: np.ndarray):
-        """(score, impossible, spike, stuck) of rows, over their fields; ``runs``: rows that may be stuck."""
+        """(score, unusual, spike, stuck) of rows, over their fields; ``runs``: rows that may be stuck. NULL readings are none."""
         n = len(day)
         score, flags = np.zeros(n), np.zeros((3, n), dtype=bool)
         for f, value in enumerate(values):
@@ -285,12 +287,34 @@ class Source:
                     own[rest] = self.forest.score(np.nan_to_num(features[rest], nan=0.0))
                 suspect = own >= self.threshold
                 score = np.maximum(score, own)
+                flags[0] |= suspect & scorable
             flags[1] |= suspect & spike
             flags[2] |= suspect & runs & (run >= self.limits.stuck)
         return score, *flags
 
 
-def flagged_rows(
+def _exact_medians(rows: DataFrame, key: str, value: str) -> DataFrame:
+    """(key, _scale): the exact median of a value that isn't negative, for keys with any number of rows.
+
+    Rows are counted in bins of about 1 % of the value; only the bins that hold the middle ranks are then
+    counted value by value. No key's rows meet in one task before they are counted.
+    """
+    bin_of = F.when(F.col(value) > 0, F.floor(F.log2(F.col(value)) * 64)).otherwise(F.lit(-(2**62))).cast("long")
+    binned = rows.select(key, F.col(value).alias("_v"), bin_of.alias("_bin"))
+    by_bin = Window.partitionBy(key).orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0)
+    counts = binned.groupBy(key, "_bin").agg(F.count(F.lit(1)).alias("_n"))
+    counts = counts.withColumn("_upto", F.sum("_n").over(by_bin)).withColumn("_all", F.sum("_n").over(Window.partitionBy(key)))
+    low, high = F.floor((F.col("_all") - 1) / 2), F.floor(F.col("_all") / 2)
+    middle = cut_lineage(counts.where((F.col("_upto") > low) & (F.col("_upto") - F.col("_n") <= high)).select(key, "_bin", (F.col("_upto") - F.col("_n")).alias("_before"), "_all"))
+    # at most two bins per key
+    values = binned.join(broadcast_if_bounded(middle), [key, "_bin"]).groupBy(key, "_bin", "_v").agg(F.count(F.lit(1)).alias("_n"), F.first("_before").alias("_before"), F.first("_all").alias("_all"))
+    inside = Window.partitionBy(key, "_bin").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = values.withColumn("_upto", F.col("_before") + F.sum("_n").over(inside)).withColumn("_from", F.col("_upto") - F.col("_n"))
+    at = lambda rank: F.max(F.when((F.col("_from") <= rank) & (F.col("_upto") > rank), F.col("_v")))
+    return ranked.groupBy(key).agg(((at(low) + at(high)) / 2).alias("_scale"))
+
+
+def judged_rows(
     deliveries: DataFrame,
     quarantined: DataFrame,
     *,
@@ -306,6 +330,7 @@ def flagged_rows(
     origins: tuple[str, str] = ("deliveries", "quarantined"),
     limits: Limits = Limits(),
     rows_per_task: int = 200_000,
+    everything: bool = False,
 ) -> DataFrame:
     """(origin, _source, _date, _run, score, reasons) of the rows with an implausible reading; a row per case.
 
@@ -315,45 +340,48 @@ def flagged_rows(
     and positive, ``activity`` finite and not negative). Runs are counted over the accepted rows (greatest
     ``order`` per source and day) with activity above 0. Rows of ``quarantined`` are not judged for runs.
     A row without a usable base, and one without a source, can only be impossible or stuck. A source whose
-    scale is unknown or 0 has no spikes. Repeated rows come out once.
+    scale is unknown or 0 has no spikes. Repeated rows come out once. With ``everything``, all rows come out;
+    the reason ``unusual`` means that the forest finds a reading suspect, whether or not it breaks a limit.
     """
-    columns = [*dict.fromkeys([source, date, run, *order, *fields, base, activity, *bounds])]
-    coverage = deliveries.select(*columns)
-    sound = finite(F.col(activity)) & (F.col(activity) >= 0)
+    order = list(order)
+    positive = F.lit(True)
     for c in dict.fromkeys([*fields, base, *bounds]):
-        sound = sound & finite(F.col(c)) & (F.col(c) > 0)
-    # quantised to 1e-6 and capped at 1, so that a source has a bounded number of distinct values in the exact median
-    size = F.round(F.least(F.abs(F.ln(F.when(sound, F.col(fields[0]) / F.col(base)))), F.lit(1.0)), 6)
-    scale = coverage.where(F.col(source).isNotNull() & sound).groupBy(source).agg(F.median(size).alias("_scale"))
-    best = accepted(coverage, (source, date), order, (*fields, base, activity))
-    keep = [F.col(source).alias("_source"), F.datediff(F.col(date), F.lit("1970-01-01").cast("date")).alias("_day")]
-    numbers = [F.col(c).cast("double").alias(f"_f{i}") for i, c in enumerate([*fields, base, activity])]
-    known = best.select(*keep, *numbers, F.lit(None).cast("double").alias("_scale")).unionByName(
-        scale.select(F.col(source).alias("_source"), F.lit(None).cast("int").alias("_day"), *[F.lit(None).cast("double").alias(f"_f{i}") for i in range(len(numbers))], "_scale")
-    )
-    judged = None
-    for i, df in enumerate((coverage, quarantined)):
-        part = df.select(F.lit(i).cast("byte").alias("_origin"), *keep, F.col(run).alias("_run"), *[F.col(c).cast("double").alias(f"_f{i}") for i, c in enumerate([*fields, base])])
-        judged = part if judged is None else judged.unionByName(part)
+        positive = positive & finite(F.col(c)) & (F.col(c) > 0)
+    sound = positive & finite(F.col(activity)) & (F.col(activity) >= 0)
     readings = [f"_f{i}" for i in range(len(fields))]
+    numbers = [F.col(c).cast("double").alias(f"_f{i}") for i, c in enumerate([*fields, base, activity])]
+    orders = [F.col(c).alias(f"_o{i}") for i, c in enumerate(order)]
+    day = F.datediff(F.col(date), F.lit("1970-01-01").cast("date"))
+    parts = [
+        df.select(F.lit(i).cast("byte").alias("_origin"), F.col(source).alias("_source"), day.alias("_day"), F.col(run).alias("_run"), *orders, *numbers, sound.alias("_sound"))
+        for i, df in enumerate((deliveries, quarantined))
+    ]
+    judged = parts[0].unionByName(parts[1])
     impossible = F.lit(False)
     for c in readings:
         impossible = impossible | F.coalesce(~finite(F.col(c)) & F.col(c).isNotNull() | (F.col(c) <= 0), F.lit(False))
-    out = ["_origin", "_source", "_day", "_run", "_score", "_impossible", "_spike", "_stuck"]
-    nowhere = judged.where(F.col("_source").isNull() & impossible).withColumns(
-        {"_score": F.lit(1.0), "_impossible": F.lit(True), "_spike": F.lit(False), "_stuck": F.lit(False)}
-    )
-    hot = F.broadcast(hot_keys(coverage.select(F.col(source).alias("_source")), "_source", rows_per_task))
-    left = judged.where(F.col("_source").isNotNull()).withColumn("_impossible", impossible).join(hot, "_source", "left")
-    left = left.withColumn("_salt", F.coalesce(F.pmod(F.xxhash64("_day", "_run"), F.col("salts")).cast("int"), F.lit(0))).drop("salts")
-    right = known.join(hot, "_source", "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))).drop("salts")
-    schema = "_origin byte, _source string, _day int, _run string, _score double, _impossible boolean, _spike boolean, _stuck boolean"
-    kernel = _kernel(len(fields), [fields.index(c) for c in steady], limits)
-    found = left.groupBy("_source", "_salt").cogroup(right.groupBy("_source", "_salt")).applyInArrow(kernel, schema)
-    names = F.array_compact(F.array(*[F.when(F.col(f"_{r}"), r) for r in ("impossible", "spike", "stuck")]))
+    judged = judged.withColumn("_impossible", impossible)
+    hot = broadcast_if_bounded(hot_keys(deliveries.select(F.col(source).alias("_source")).unionByName(quarantined.select(F.col(source).alias("_source"))), "_source", rows_per_task).withColumnRenamed("_source", "_hot"))
+    same = F.col("_source").eqNullSafe(F.col("_hot"))
+    salt = F.coalesce(F.pmod(F.xxhash64("_day", "_run"), F.col("salts")).cast("int"), F.lit(0))
+    rows = judged.join(hot, same, "left").withColumn("_salt", salt).drop("_hot", "salts")
+    # of split sources, what each of their tasks must know; without any, these scans are empty
+    own = parts[0].where(F.col("_source").isNotNull())
+    split = own.join(hot, F.col("_source") == F.col("_hot"), "left_semi")
+    best = accepted(split, ("_source", "_day"), [f"_o{i}" for i in range(len(order))], [f"_f{i}" for i in range(len(numbers))])
+    size = F.abs(F.ln(F.col("_f0") / F.col(f"_f{len(fields)}")))
+    scale = _exact_medians(split.where("_sound").withColumn("_size", size), "_source", "_size")
+    copies = F.explode(F.sequence(F.lit(0), F.col("salts") - 1))
+    every = lambda df: df.join(hot, F.col("_source") == F.col("_hot")).withColumn("_salt", copies).drop("_hot", "salts")
+    rows = rows.unionByName(every(best.withColumn("_origin", F.lit(2).cast("byte"))), allowMissingColumns=True)
+    rows = rows.unionByName(every(scale.select("_source", F.col("_scale").alias("_f0"), F.lit(3).cast("byte").alias("_origin"))), allowMissingColumns=True)
+    schema = "_origin byte, _source string, _day int, _run string, _score double, _impossible boolean, _unusual boolean, _spike boolean, _stuck boolean"
+    kernel = _kernel(len(fields), len(order), [list(fields).index(c) for c in steady], limits, everything)
+    found = rows.groupBy("_source", "_salt").applyInArrow(kernel, schema)
+    kinds = ("impossible", "spike", "stuck", *(("unusual",) if everything else ()))
+    names = F.array_compact(F.array(*[F.when(F.col(f"_{r}"), r) for r in kinds]))
     return (
-        found.unionByName(nowhere.select(*out))
-        .select(
+        found.select(
             F.when(F.col("_origin") == 0, origins[0]).otherwise(origins[1]).alias("origin"),
             "_source",
             F.date_from_unix_date("_day").alias("_date"),
@@ -366,32 +394,70 @@ def flagged_rows(
     )
 
 
-def _kernel(fields: int, steady: list[int], limits: Limits):
-    def judge(left, right):
+def flagged_rows(deliveries: DataFrame, quarantined: DataFrame, **how) -> DataFrame:
+    """The cases alone, as in ``judged_rows``."""
+    return judged_rows(deliveries, quarantined, **how, everything=False)
+
+
+def _rank(column) -> np.ndarray:
+    """Dense rank of the values of an Arrow column, NULL first."""
+    import pyarrow.compute as pc
+
+    return pc.rank(column, sort_keys="ascending", null_placement="at_start", tiebreaker="dense").to_numpy()
+
+
+def _accepted(days: np.ndarray, orders: Sequence, values: np.ndarray, missing: np.ndarray) -> np.ndarray:
+    """Positions of the row with the greatest order of each day; ties go to the greatest values, where NULL is least and NaN greatest."""
+    keys = []
+    for value, null in zip(values, missing, strict=True):
+        keys += [np.where(null, -1, np.isnan(value)).astype(int), np.nan_to_num(value, nan=0.0, posinf=np.inf, neginf=-np.inf)]
+    # lexsort takes the last key first; of a value, NULL, number and NaN come before its size
+    ranked = [k for pair in reversed(list(zip(keys[1::2], keys[::2], strict=True))) for k in pair]
+    by = np.lexsort([*ranked, *[_rank(o) for o in reversed(orders)], days])
+    last = np.ones(len(by), dtype=bool)
+    last[:-1] = days[by][1:] != days[by][:-1]
+    return by[last]
+
+
+def _kernel(fields: int, orders: int, steady: list[int], limits: Limits, everything: bool):
+    def judge(table):
         import pyarrow as pa
 
-        def number(table, name):
-            return table.column(name).to_numpy().astype(float)
-
-        if not left.num_rows:
-            return left.select(["_origin", "_source", "_day", "_run"]).append_column("_score", pa.array([], pa.float64())).append_column(
-                "_impossible", pa.array([], pa.bool_())
-            ).append_column("_spike", pa.array([], pa.bool_())).append_column("_stuck", pa.array([], pa.bool_()))
-        known = number(right, "_day")
-        rows = ~np.isnan(known)
-        scale = number(right, "_scale")
-        scale = scale[~np.isnan(scale)]
-        values = np.array([number(right, f"_f{i}")[rows] for i in range(fields + 2)]).reshape(fields + 2, -1)
-        own = left.column("_source")[0].as_py()
-        source = Source(known[rows].astype(np.int64), values[:fields], values[fields], np.nan_to_num(values[fields + 1]), scale[0] if len(scale) else np.nan, steady, limits, zlib.crc32(str(own).encode()))
-        day = np.nan_to_num(number(left, "_day"), nan=-5_000_000).astype(np.int64)
-        origin = left.column("_origin").to_numpy()
-        score, _, spike, stuck = source.judge(day, [number(left, f"_f{i}") for i in range(fields)], number(left, f"_f{fields}"), origin == 0)
-        impossible = left.column("_impossible").to_numpy(zero_copy_only=False)
-        hit = np.flatnonzero(impossible | spike | stuck)
-        kept = left.select(["_origin", "_source", "_day", "_run"]).take(hit)
-        for name, column in (("_score", score), ("_impossible", impossible), ("_spike", spike), ("_stuck", stuck)):
-            kept = kept.append_column(name, pa.array(column[hit]))
+        def number(t, name):
+            return t.column(name).to_numpy().astype(float)
+
+        kind = table.column("_origin").to_numpy()
+        left, right = table.filter(pa.array(kind < 2)), table.filter(pa.array(kind == 2))
+        scale = number(table.filter(pa.array(kind == 3)), "_f0")
+        kept = left.select(["_origin", "_source", "_day", "_run"])
+        impossible = left.column("_impossible").to_numpy(zero_copy_only=False).astype(bool)
+        flags = {"_score": impossible.astype(float), "_impossible": impossible, "_unusual": impossible, "_spike": np.zeros(len(impossible), dtype=bool), "_stuck": np.zeros(len(impossible), dtype=bool)}
+        own = table.column("_source")[0].as_py()
+        if own is not None and left.num_rows:
+            values = [number(left, f"_f{i}") for i in range(fields + 1)]
+            delivered = left.column("_origin").to_numpy() == 0
+            if right.num_rows or len(scale):
+                known = right
+            else:
+                # the task holds all rows of the source
+                mine = left.filter(pa.array(delivered & ~np.asarray(left.column("_day").is_null())))
+                day = number(mine, "_day")
+                columns = [mine.column(f"_f{i}") for i in range(fields + 2)]
+                known = mine.take(_accepted(day, [mine.column(f"_o{i}") for i in range(orders)], np.array([c.to_numpy().astype(float) for c in columns]).reshape(fields + 2, -1), [np.asarray(c.is_null()) for c in columns]))
+                sound = delivered & left.column("_sound").to_numpy(zero_copy_only=False).astype(bool)
+                with np.errstate(all="ignore"):
+                    size = np.abs(np.log(values[0][sound] / values[fields][sound]))
+                scale = np.array([np.median(size)]) if len(size) else size
+            accepted_values = np.array([number(known, f"_f{i}") for i in range(fields + 2)]).reshape(fields + 2, -1)
+            source = Source(number(known, "_day").astype(np.int64), accepted_values[:fields], accepted_values[fields], np.nan_to_num(accepted_values[fields + 1]), scale[0] if len(scale) else np.nan, steady, limits, zlib.crc32(str(own).encode()))
+            day = np.nan_to_num(number(left, "_day"), nan=-5_000_000).astype(np.int64)
+            score, unusual, spike, stuck = source.judge(day, values[:fields], values[fields], delivered)
+            flags |= {"_score": np.maximum(score, impossible), "_unusual": unusual | impossible, "_spike": spike, "_stuck": stuck}
+        if not everything:
+            hit = np.flatnonzero(flags["_impossible"] | flags["_spike"] | flags["_stuck"])
+            kept, flags = kept.take(hit), {k: v[hit] for k, v in flags.items()}
+        for name, column in flags.items():
+            kept = kept.append_column(name, pa.array(column))
         return kept
 
     return judge
