@@ -73,13 +73,61 @@ def test_corrections_replay_only_later_versions(spark, tmp_path):
     rows = [("a", p, float(p)) for p in range(20)]
     store = rolling.RollingState(spark, "t", {"w": 5}, ["v"], root=str(tmp_path))
     for to in (4, 9, 14, 19):
-        store.advance_to(amounts_of(spark, rows), to)
+        store.advance_to(amounts_of(spark, [r for r in rows if to - 5 < r[1] <= to]), to)
     fixed = [(e, p, v + (100 if p == 11 else 0)) for e, p, v in rows]
     assert store.correct(amounts_of(spark, fixed), 11) == [14, 19]
     for at in store.versions:
         assert float(store.load(at).totals.first()["_s_v_w"]) == brute_totals(fixed, "a", at, 5)[1]
 
 
+def test_state_survives_a_restart_and_refuses_late_amounts(spark, tmp_path):
+    rows = [("a", p, float(p + 1)) for p in range(12)]
+    store = lambda: rolling.RollingState(spark, "t", {"w": 5}, ["v"], root=str(tmp_path))
+    store().advance_to(amounts_of(spark, rows[:6]), 5)
+    with pytest.raises(ValueError, match="late"):
+        store().advance_to(amounts_of(spark, [("a", 4, 100.0)]), 8)
+    with pytest.raises(ValueError, match="not later"):
+        store().advance_to(amounts_of(spark, rows[6:]), 5)
+    store().advance_to(amounts_of(spark, rows[6:]), 9)
+    again = store()
+    assert again.versions == [5, 9] and float(again.load().totals.first()["_s_v_w"]) == brute_totals(rows, "a", 9, 5)[1]
+    late = rows + [("b", 4, 100.0)]
+    assert again.correct(amounts_of(spark, late), 4) == [5, 9]
+    assert {r["_entity"]: float(r["_s_v_w"]) for r in store().load(5).totals.collect()} == {"a": brute_totals(rows, "a", 5, 5)[1], "b": 100.0}
+
+
+def test_replay_by_stretches_equals_brute_force(spark):
+    rng = random.Random(5)
+    rows = [(e, p, float(rng.randrange(50))) for e in "abc" for p in range(60) if rng.random() < 0.4]
+    for positions in ([59], [19, 39, 59], [0, 3, 58]):
+        store = rolling.RollingState(spark, "replay", {"w": 7, "v": 1}, ["v"])
+        asked = spark.createDataFrame([(e, -2, 70) for e in "abcd"], "_entity string, _pos int, _to int")
+        got = {(r["_entity"], r["_pos"]): (r["n_w"], None if r["v_w"] is None else float(r["v_w"])) for r in store.replay(amounts_of(spark, rows), asked, positions).collect()}
+        assert len(got) == 4 * 73 and store.versions == positions
+        for (e, p), (n, total) in got.items():
+            count, want = brute_totals(rows, e, p, 7)
+            assert n == count and total == (want if count else None)
+
+
+def test_medians_of_split_sources_are_exact(spark):
+    rng = random.Random(6)
+    rows = [(k, rng.choice([0.0, 1e-9, rng.random(), rng.random() * 1e-4, 7.5])) for k in "abcdef" for _ in range(rng.randrange(1, 60))]
+    got = {r["k"]: r["_scale"] for r in anomalies._exact_medians(spark.createDataFrame(rows, "k string, v double"), "k", "v").collect()}
+    assert got == {k: float(np.median([v for x, v in rows if x == k])) for k in {r[0] for r in rows}}
+
+
+def test_splitting_hot_sources_changes_nothing(spark, small):
+    from tidemark.plans import problems
+
+    how = dict(source="security_id", date="date", run="ingestion_run_id", order=("source_asof", "ingestion_run_id"), fields=("open", "adj_close"), steady=("adj_close",), base="close", activity="volume", bounds=("high", "low"), everything=True)
+    bars, quarantine = (problems.load(spark, small, t).limit(10**9) for t in ("coverage_bars", "bar_quarantine"))
+    # most rows of one source are quarantined: they count for the split too
+    one = quarantine.first()["security_id"]
+    quarantine = quarantine.unionByName(quarantine.where(quarantine.security_id == one).withColumn("ingestion_run_id", F.explode(F.array(*[F.lit(f"x{i}") for i in range(300)])))).unionByName(quarantine.limit(2).withColumn("security_id", F.lit(None).cast("string")))
+    whole, split = ({tuple(map(str, r)) for r in anomalies.judged_rows(bars, quarantine, **how, rows_per_task=n).collect()} for n in (10**6, 250))
+    assert whole == split and len(whole) > 3000
+
+
 def test_amounts_without_meaning_are_left_out(spark):
     df = spark.createDataFrame([(None, 1, 1.0), ("a", None, 1.0), ("a", 1, None), ("a", 1, 2.0), ("a", 2, 1e30)], "e string, p int, v double")
     amounts = rolling.daily_amounts(df, "e", F.col("p"), {"v": F.col("v")})
