@@ -107,11 +107,11 @@ def rolling_percentile(value: str, n: int) -> Column:
     return F.when(F.col(value).isNotNull() & (F.size(values) == n), F.size(F.filter(values, lambda x: x <= F.col(value))) / F.lit(float(n)))
 
 
-def drawdown(ret: str, key: str = KEY, axis: str = AXIS) -> Column:
-    """Wealth over its running maximum, the starting capital included, less 1. Missing returns change nothing."""
+def with_drawdown(df: DataFrame, ret: str, nav: str = "nav", out: str = "drawdown", key: str = KEY, axis: str = AXIS) -> DataFrame:
+    """``df`` with ``nav`` (wealth from 1) and ``out``: wealth over its running maximum, the starting capital included, less 1. Missing returns change nothing."""
     upto = by_security(key, axis).rowsBetween(Window.unboundedPreceding, 0)
-    wealth = F.product(1 + F.coalesce(F.col(ret), F.lit(0.0))).over(upto)
-    return wealth
+    grown = df.withColumn(nav, F.product(1 + F.coalesce(F.col(ret), F.lit(0.0))).over(upto))
+    return grown.withColumn(out, F.col(nav) / F.greatest(F.max(nav).over(upto), F.lit(1.0)) - 1)
 
 
 def local_maximum(value: str, radius: int) -> Column:

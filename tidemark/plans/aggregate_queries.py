@@ -66,7 +66,7 @@ def a04_a05_quality(spark, at):
     return s.select("grp", "session_no", r6(F.col("score")).alias("score"), grade.alias("grade"), F.array_join(reasons, ";").alias("reasons"))
 
 
-@query(f"""WITH {RET}, c AS (SELECT *, close * volume AS cap, substr(security_id, 5, 1) AS sector FROM ret WHERE session_no % 20 = 0 AND close > 0 AND volume > 0)
+@query(f"""WITH {RET}, c AS (SELECT *, close * volume AS cap, substr(security_id, 5, 1) AS sector FROM ret WHERE close > 0 AND volume > 0)
 SELECT session_no, sector, grp, count(*) AS n, {r('sum(cap * ret) FILTER (ret IS NOT NULL) / nullif(sum(cap) FILTER (ret IS NOT NULL), 0)', 'weighted')} FROM c GROUP BY GROUPING SETS ((session_no, sector, grp), (session_no, sector), (session_no))""")
 def a06_a07_rollup(spark, at):
     """Size-weighted returns of groups, sectors and the whole by one roll-up; missing returns give their weight to the others."""

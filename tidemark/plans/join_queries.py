@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.asof import History, last_known
 from tidemark.plans.base import BARS_SQL, PANEL_SQL, bars, panel, r6, sessions
+from tidemark.plans.problems import known_membership, session_of_days
 from tidemark.scale import broadcast_if_bounded, finite
 from tidemark.sources.tables import load
 
@@ -61,32 +62,34 @@ def j02_j03_ticker_as_of(spark, at):
 
 
 MEMBERS = """
-m AS (SELECT *, coalesce(upper(trim(snapshot_type)), '') AS kind FROM pit_membership),
-c AS (SELECT date AS snap, security_id, arg_max(coalesce(active, false), (knowledge_date, coalesce(active, false))) AS active FROM m WHERE kind <> 'FORCED_EXIT' GROUP BY ALL),
-x AS (SELECT DISTINCT security_id, date AS left_on FROM m WHERE kind = 'FORCED_EXIT'),
-q AS (SELECT session_date AS d, session_no FROM trading_sessions WHERE session_no % 10 = 0),
-s AS (SELECT d, session_no, max(snap) AS snap FROM q JOIN (SELECT DISTINCT snap FROM c) ON snap <= d GROUP BY ALL),
-a AS (SELECT d, session_no, s.snap, c.security_id FROM s JOIN c ON c.snap = s.snap AND c.active WHERE NOT EXISTS (SELECT 1 FROM x WHERE x.security_id = c.security_id AND left_on > s.snap AND left_on <= d))"""
+m AS (SELECT *, coalesce(upper(trim(snapshot_type)), '') AS kind FROM pit_membership WHERE knowledge_date IS NOT NULL AND date IS NOT NULL),
+c AS (SELECT * FROM m WHERE kind IN ('MONTH_END', 'FORCED_EXIT_CARRY_FORWARD', '')),
+k AS (SELECT date, min(knowledge_date) AS known FROM c GROUP BY 1),
+s AS (SELECT session_date AS d, session_no, max(date) AS snap FROM trading_sessions JOIN k ON known <= session_date GROUP BY ALL),
+w AS (SELECT d, session_no, snap, c.security_id, max_by(coalesce(c.active, false), (c.knowledge_date, coalesce(c.active, false))) AS active FROM s JOIN c ON c.date = s.snap AND c.knowledge_date <= s.d WHERE c.security_id IS NOT NULL GROUP BY ALL),
+a AS (SELECT d, session_no, snap, security_id FROM w WHERE active AND NOT EXISTS (SELECT 1 FROM m x WHERE x.kind = 'FORCED_EXIT' AND x.security_id = w.security_id AND x.date > w.snap AND x.date <= w.d AND x.knowledge_date <= w.d))"""
 
 
 def members(spark: SparkSession, at: str):
-    """(d, session_no, snap, security_id): members on every session, by replay of snapshots and removals."""
-    kind = F.coalesce(F.upper(F.trim("snapshot_type")), F.lit(""))
-    m = load(spark, at, "pit_membership", "date", "security_id", "active", "snapshot_type", "knowledge_date").withColumn("kind", kind)
-    state = m.where("kind <> 'FORCED_EXIT'").groupBy("date", "security_id").agg(F.max(F.struct("knowledge_date", F.coalesce("active", F.lit(False)).alias("a"))).alias("s")).where("s.a")
-    complete = m.where("kind <> 'FORCED_EXIT'").select(F.col("date").alias("snap")).distinct()
-    following = complete.withColumn("until", F.coalesce(F.date_sub(F.lead("snap").over(Window.partitionBy().orderBy("snap")), 1), date(LAST)))
-    days = sessions(spark, at).select(F.col("session_date").alias("d"), "session_no")
-    # both sides have at most a row per day of the calendar
-    s = days.join(broadcast_if_bounded(following), F.col("d").between(F.col("snap"), F.col("until"))).select("d", "session_no", "snap")
-    now = broadcast_if_bounded(s).join(state.select(F.col("date").alias("snap"), "security_id"), "snap")
-    x = m.where("kind = 'FORCED_EXIT'").select(F.col("security_id").alias("xs"), F.col("date").alias("left_on")).distinct()
-    return now.join(x, (F.col("security_id") == F.col("xs")) & (F.col("left_on") > F.col("snap")) & (F.col("left_on") <= F.col("d")), "left_anti")
+    """(d, session_no, snap, security_id): members on every session as they were known on it.
+
+    A security is asked for on the sessions from the first day on which any row of it is known; its sessions
+    are a sequence, so no rows of the two tables are paired.
+    """
+    m = load(spark, at, "pit_membership")
+    days = sessions(spark, at).select(F.col("session_date").alias("date"), F.col("session_no").cast("int").alias("session_no"))
+    # a row per session
+    ends = days.agg(F.min("session_no").alias("_low"), F.max("session_no").alias("_high"), F.min("date").alias("_first"))
+    known = m.dropna(subset=["security_id", "knowledge_date"]).groupBy("security_id").agg(F.min("knowledge_date").alias("_known"))
+    every = known.join(F.broadcast(ends)).select("security_id", "_known", F.explode(F.sequence("_low", "_high")).alias("session_no"))
+    asked = every.join(broadcast_if_bounded(days, load(spark, at, "trading_sessions")), "session_no").where("date >= _known").select("security_id", "date")
+    now = known_membership(m, asked).where("member")
+    return now.join(broadcast_if_bounded(days, load(spark, at, "trading_sessions")), "date").select(F.col("date").alias("d"), "session_no", F.col("snapshot").alias("snap"), "security_id")
 
 
 @query(f"WITH {MEMBERS} SELECT strftime(d, '%Y-%m-%d') AS day, security_id FROM a")
 def j04_j05_j06_membership(spark, at):
-    """Members on every session: the latest complete snapshot less the removals since."""
+    """Members on every session: the latest complete snapshot known by then, less the removals since that were known."""
     return members(spark, at).select(F.date_format("d", "yyyy-MM-dd").alias("day"), "security_id")
 
 
@@ -98,45 +101,79 @@ def j07_proj08_coverage(spark, at):
     return members(spark, at).join(b, ["security_id", "session_no"], "left").groupBy(F.date_format("d", "yyyy-MM-dd").alias("day")).agg(n.alias("expected"), k.alias("observed"), r6(k / n).alias("coverage"))
 
 
-@query(f"""WITH {H}, e AS (SELECT DISTINCT CAST(session_date AS DATE) AS d FROM trading_sessions WHERE session_no % 50 = 1), r AS (SELECT e.d, h.*, rank() OVER (PARTITION BY d, security_id ORDER BY source_asof DESC) AS k FROM e JOIN h ON d BETWEEN f AND t AND source_asof < d + 700)
-SELECT strftime(d, '%Y-%m-%d') AS day, security_id, min(ticker) AS ticker, count(DISTINCT ticker) AS tickers FROM r WHERE k = 1 GROUP BY ALL""")
+@query(f"""WITH {H}, r AS (SELECT session_date AS d, h.*, rank() OVER (PARTITION BY session_date, security_id ORDER BY source_asof DESC) AS k FROM trading_sessions JOIN h ON session_date BETWEEN f AND t AND source_asof < session_date)
+SELECT strftime(d, '%Y-%m-%d') AS day, security_id, min(ticker) AS ticker, count(DISTINCT ticker) AS tickers, CASE WHEN count(DISTINCT ticker) > 1 THEN 'CONFLICT' ELSE 'KNOWN' END AS state FROM r WHERE k = 1 GROUP BY ALL""")
 def j08_j15_bitemporal(spark, at):
-    """The value valid on each session among those known before it, latest knowledge first; conflicts are counted."""
-    days = sessions(spark, at).select(F.col("session_date").alias("d"))
-    known = broadcast_if_bounded(days, load(spark, at, "trading_sessions"))
-    hit = history(spark, at).join(known, F.col("d").between(F.col("f"), F.col("t")) & (F.col("source_asof") < F.col("d")))
-    best = hit.withColumn("k", F.rank().over(Window.partitionBy("d", "security_id").orderBy(F.col("source_asof").desc()))).where("k = 1")
-    return best.groupBy(F.date_format("d", "yyyy-MM-dd").alias("day"), "security_id").agg(F.min("ticker").alias("ticker"), F.countDistinct("ticker").alias("tickers"))
-
-
-@query(f"""WITH RECURSIVE {H}, o AS (SELECT security_id, ticker, min(f) AS f FROM h WHERE f <= t GROUP BY ALL),
-n AS (SELECT *, row_number() OVER (PARTITION BY security_id ORDER BY f, ticker) AS k FROM o),
-c AS (SELECT security_id, CAST(k AS INT) AS k, ticker AS chain FROM n WHERE k = 1 UNION ALL SELECT c.security_id, c.k + 1, c.chain || '>' || n.ticker FROM c JOIN n ON n.security_id = c.security_id AND n.k = c.k + 1 WHERE c.k < 60)
-SELECT security_id, max(k) AS names, arg_max(chain, k) AS chain FROM c GROUP BY 1""")
+    """The value valid on each session among those known strictly before it, latest knowledge first; several values of the same knowledge are a conflict.
+
+    Days become session numbers by two lookups in the calendar, and an interval its sequence of sessions.
+    """
+    every = sessions(spark, at)
+    days = broadcast_if_bounded(session_of_days(every).select("day", F.col("session_no").cast("int").alias("_no")), load(spark, at, "trading_sessions"))
+    # one row
+    ends = F.broadcast(every.agg(F.min("session_date").alias("_first"), F.max("session_date").alias("_last"), F.min("session_no").cast("int").alias("_low")))
+    h = history(spark, at).where("security_id IS NOT NULL AND source_asof IS NOT NULL").join(ends)
+    # the last session before the interval or at the day of knowledge, and the last one in it
+    h = h.withColumn("_before", F.greatest(F.date_sub("f", 1), "source_asof")).withColumn("_to", F.least("t", "_last")).where("_to >= _first AND _before < _to")
+    from_, to = days.select(F.col("day").alias("_before"), F.col("_no").alias("_a")), days.select(F.col("day").alias("_to"), F.col("_no").alias("_b"))
+    h = h.join(F.broadcast(from_), "_before", "left").join(F.broadcast(to), "_to").withColumn("_a", F.coalesce("_a", F.col("_low") - 1)).where("_a < _b")
+    hit = h.select("security_id", "ticker", "source_asof", F.explode(F.sequence(F.col("_a") + 1, F.col("_b"))).alias("session_no"))
+    told = hit.groupBy("security_id", "session_no", "source_asof").agg(F.min("ticker").alias("ticker"), F.countDistinct("ticker").alias("tickers"))
+    best = told.groupBy("security_id", "session_no").agg(F.max(F.struct("source_asof", "ticker", "tickers")).alias("b"))
+    calendar = broadcast_if_bounded(every.select(F.col("session_no").cast("int").alias("session_no"), "session_date"), load(spark, at, "trading_sessions"))
+    state = F.when(F.col("b.tickers") > 1, "CONFLICT").otherwise("KNOWN")
+    return best.join(calendar, "session_no").select(F.date_format("session_date", "yyyy-MM-dd").alias("day"), "security_id", F.col("b.ticker").alias("ticker"), F.col("b.tickers").alias("tickers"), state.alias("state"))
+
+
+@query(f"""WITH {H}, i AS (SELECT DISTINCT security_id, ticker, f, t FROM h WHERE f <= t AND security_id IS NOT NULL AND ticker IS NOT NULL),
+o AS (SELECT *, max(t) OVER (PARTITION BY security_id, ticker ORDER BY f, t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS own, lag(ticker) OVER w AS last_name FROM i WINDOW w AS (PARTITION BY security_id ORDER BY f, t, ticker)),
+b AS (SELECT a.security_id, count(*) AS branches FROM i a WHERE EXISTS (SELECT 1 FROM i c WHERE c.security_id = a.security_id AND c.ticker <> a.ticker AND (c.f, c.ticker) < (a.f, a.ticker) AND c.t >= a.f) GROUP BY 1),
+s AS (SELECT *, sum(CASE WHEN last_name = ticker THEN 0 ELSE 1 END) OVER (PARTITION BY security_id ORDER BY f, t, ticker) AS k FROM o),
+g AS (SELECT security_id, k, ticker, min(f) AS f, max(t) AS t FROM s GROUP BY ALL)
+SELECT g.security_id, count(*) AS names, string_agg(ticker || ' ' || strftime(f, '%Y-%m-%d') || '/' || strftime(t, '%Y-%m-%d'), '>' ORDER BY k) AS chain, count(*) > count(DISTINCT ticker) AS returns, coalesce(max(branches), 0) AS branches FROM g LEFT JOIN b ON b.security_id = g.security_id GROUP BY 1""")
 def j10_j11_lineage(spark, at):
-    """The chain of a security's tickers, walked rename by rename in a recursive query."""
-    first = history(spark, at).where("f <= t").groupBy("security_id", "ticker").agg(F.min("f").alias("f"))
-    named = first.withColumn("k", F.row_number().over(Window.partitionBy("security_id").orderBy("f", "ticker")))
-    return spark.sql(
-        """WITH RECURSIVE c(security_id, k, chain) AS (SELECT security_id, k, ticker FROM {n} WHERE k = 1 UNION ALL
-        SELECT c.security_id, c.k + 1, concat(c.chain, '>', n.ticker) FROM c JOIN {n} n ON n.security_id = c.security_id AND n.k = c.k + 1 WHERE c.k < 60)
-        SELECT security_id, max(k) AS names, max_by(chain, k) AS chain FROM c GROUP BY 1""",
-        n=named,
+    """The chain of a security's tickers with their intervals; names that return later, and intervals that begin inside one of another name.
+
+    The walk from rename to rename is an order: successive intervals of one name are one link. A chain may
+    be of any length.
+    """
+    i = history(spark, at).where("f <= t AND security_id IS NOT NULL AND ticker IS NOT NULL").select("security_id", "ticker", "f", "t").distinct()
+    w = Window.partitionBy("security_id").orderBy("f", "t", "ticker")
+    s = i.withColumn("k", F.sum(F.when(F.lag("ticker").over(w) == F.col("ticker"), 0).otherwise(1)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    g = s.groupBy("security_id", "k", "ticker").agg(F.min("f").alias("f"), F.max("t").alias("t"))
+    link = F.concat("ticker", F.lit(" "), F.date_format("f", "yyyy-MM-dd"), F.lit("/"), F.date_format("t", "yyyy-MM-dd"))
+    chains = g.groupBy("security_id").agg(
+        F.count(F.lit(1)).alias("names"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", link.alias("link")))), lambda x: x["link"]), ">").alias("chain"), (F.count(F.lit(1)) > F.countDistinct("ticker")).alias("returns")
     )
+    branches = begin_inside(i, "security_id", "ticker").groupBy("security_id").agg(F.count(F.lit(1)).alias("branches"))
+    return chains.join(branches, "security_id", "left").select("security_id", "names", "chain", "returns", F.coalesce("branches", F.lit(0)).alias("branches"))
 
 
-@query(f"""WITH {H}, g AS (SELECT DISTINCT ticker, security_id, f, t FROM h WHERE ticker IS NOT NULL), w AS (SELECT *, f > t AS inverted FROM g)
+def begin_inside(intervals, group: str, member: str):
+    """Rows (group, member, f, t) of distinct intervals that begin inside an earlier one of another member of the group.
+
+    Earlier is a smaller (f, member). Starts and ends are one ordered list of events: at a start, more
+    intervals of the group are open than of the member itself. Linear, whatever the size of a group.
+    """
+    at = lambda c, kind, step: F.struct(F.unix_date(c).cast("long").alias("p"), F.lit(kind).alias("kind"), F.lit(step).alias("step"))
+    ends = F.struct((F.unix_date("t").cast("long") + 1).alias("p"), F.lit(0).alias("kind"), F.lit(-1).alias("step"))
+    events = intervals.select(group, member, "f", "t", F.explode(F.array(at("f", 1, 1), ends)).alias("e")).select(group, member, "f", "t", "e.*")
+    order = ["p", "kind", member, "t", "f"]
+    before = (Window.unboundedPreceding, -1)
+    both = events.withColumn("_all", F.sum("step").over(Window.partitionBy(group).orderBy(*order).rowsBetween(*before)))
+    both = both.withColumn("_own", F.sum("step").over(Window.partitionBy(group, member).orderBy(*order).rowsBetween(*before)))
+    return both.where("kind = 1 AND coalesce(_all, 0) > coalesce(_own, 0)").select(group, member, "f", "t")
+
+
+@query(f"""WITH {H}, g AS (SELECT DISTINCT ticker, security_id, f, t FROM h WHERE ticker IS NOT NULL AND security_id IS NOT NULL), w AS (SELECT *, f > t AS inverted FROM g)
 SELECT DISTINCT ticker, security_id, strftime(f, '%Y-%m-%d') AS from_day, CASE WHEN inverted THEN 'INVERTED' ELSE 'OVERLAP' END AS problem FROM w
 WHERE inverted OR EXISTS (SELECT 1 FROM g o WHERE o.ticker = w.ticker AND o.security_id <> w.security_id AND o.f <= o.t AND o.f <= w.f AND o.t >= w.f AND (o.f < w.f OR o.security_id < w.security_id))""")
 def j12_interval_conflicts(spark, at):
     """Intervals of a ticker that begin inside one of another security, or end before they start."""
-    g = history(spark, at).select("ticker", "security_id", "f", "t").where(F.col("ticker").isNotNull()).distinct()
-    good = g.where("f <= t")
-    before = Window.partitionBy("ticker").orderBy("f", "security_id").rowsBetween(Window.unboundedPreceding, -1)
-    seen = good.withColumn("_o", F.collect_list(F.struct("security_id", "t")).over(before))
-    overlap = seen.where(F.exists("_o", lambda o: (o["security_id"] != F.col("security_id")) & (o["t"] >= F.col("f")))).withColumn("problem", F.lit("OVERLAP"))
-    wrong = g.where("f > t").withColumn("problem", F.lit("INVERTED"))
-    return overlap.drop("_o").unionByName(wrong).select("ticker", "security_id", F.date_format("f", "yyyy-MM-dd").alias("from_day"), "problem").distinct()
+    g = history(spark, at).select("ticker", "security_id", "f", "t").where("ticker IS NOT NULL AND security_id IS NOT NULL").distinct()
+    overlap = begin_inside(g.where("f <= t"), "ticker", "security_id").withColumn("problem", F.lit("OVERLAP"))
+    wrong = g.where("f > t").withColumn("problem", F.lit("INVERTED")).select("ticker", "security_id", "f", "t", "problem")
+    return overlap.unionByName(wrong).select("ticker", "security_id", F.date_format("f", "yyyy-MM-dd").alias("from_day"), "problem").distinct()
 
 
 DELIVERIES = """
@@ -275,7 +312,7 @@ def u02_month_replacement(spark, at):
     return old.unionByName(new).groupBy(F.date_format("date", "yyyy-MM").alias("month")).agg(F.count(F.lit(1)).alias("rows"))
 
 
-@query(f"WITH {MEMBERS} SELECT CAST(session_no AS BIGINT) AS session_no, count(*) AS members, CAST(coalesce(sum(CASE WHEN b THEN 0 ELSE 1 END), 0) AS BIGINT) AS joined FROM (SELECT session_no, security_id, lag(session_no) OVER (PARTITION BY security_id ORDER BY session_no) = session_no - 10 AS b0, coalesce(lag(session_no) OVER (PARTITION BY security_id ORDER BY session_no) = session_no - 10, false) AS b FROM a) GROUP BY 1")
+@query(f"WITH {MEMBERS} SELECT CAST(session_no AS BIGINT) AS session_no, count(*) AS members, CAST(coalesce(sum(CASE WHEN b THEN 0 ELSE 1 END), 0) AS BIGINT) AS joined FROM (SELECT session_no, security_id, lag(session_no) OVER (PARTITION BY security_id ORDER BY session_no) = session_no - 1 AS b0, coalesce(lag(session_no) OVER (PARTITION BY security_id ORDER BY session_no) = session_no - 1, false) AS b FROM a) GROUP BY 1")
 def u06_u12_membership_flow(spark, at):
     """Members and newcomers of every session, from the replayed timeline."""
     a = members(spark, at).withColumn("_b", F.lag("session_no").over(Window.partitionBy("security_id").orderBy("session_no")))

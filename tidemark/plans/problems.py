@@ -50,7 +50,7 @@ def _valid_bars(spark: SparkSession, at: str) -> DataFrame:
     return best.where(finite(close) & finite(volume) & (close > 0) & (volume >= 0))
 
 
-def _session_of_days(sessions: DataFrame, after: int = 366) -> DataFrame:
+def session_of_days(sessions: DataFrame, after: int = 366) -> DataFrame:
     """(day, session_no): the last session on or before each calendar day, up to ``after`` days behind the last one."""
     # one row per session of the calendar, so one task may order them
     following = sessions.withColumn("_next", F.lead("session_date").over(Window.partitionBy().orderBy("session_date")))
@@ -87,7 +87,7 @@ def p2_found(spark: SparkSession, at: str) -> DataFrame:
     sessions, ends = _calendar(spark, at)
     amounts = _session_amounts(spark, at, sessions)
     audit = load(spark, at, "eligibility_audit", "date", "security_id", "adv20_usd", "valid_sessions_20d").dropna(subset=["date", "security_id"])
-    requests = audit.distinct().join(broadcast_if_bounded(_session_of_days(sessions), sessions), F.col("date") == F.col("day"), "left").select(
+    requests = audit.distinct().join(broadcast_if_bounded(session_of_days(sessions), sessions), F.col("date") == F.col("day"), "left").select(
         F.col("security_id").alias("_entity"), F.coalesce("session_no", F.lit((ends["low"] or 0) - 1)).alias("_pos"), "date", "adv20_usd", "valid_sessions_20d"
     )
     state = rolling.RollingState(spark, "sessions", {"s20": 20}, ["usd"])

@@ -31,7 +31,7 @@ def query(oracle: str | None = None):
 
 FACTORS = f"""{RET}, wide AS (SELECT security_id, session_no, lag(adj_close, 0) {LAG} / nullif(lag(adj_close, 21) {LAG}, 0) - 1 AS m, CASE WHEN count(ret) OVER w >= 16 THEN stddev_samp(ret) OVER w END AS v FROM ret WINDOW w AS (PARTITION BY security_id ORDER BY session_no ROWS 19 PRECEDING)),
 long AS (SELECT security_id, session_no, 'MOM_1M' AS factor_id, m AS raw, 1 AS dir FROM wide UNION ALL SELECT security_id, session_no, 'VOL_20D', v, -1 FROM wide),
-last AS (SELECT * FROM long WHERE session_no % 10 = 0 AND raw IS NOT NULL), med AS (SELECT *, median(raw) OVER g AS med FROM last WINDOW g AS (PARTITION BY factor_id, session_no)),
+last AS (SELECT * FROM long WHERE raw IS NOT NULL), med AS (SELECT *, median(raw) OVER g AS med FROM last WINDOW g AS (PARTITION BY factor_id, session_no)),
 mad AS (SELECT *, median(abs(raw - med)) OVER (PARTITION BY factor_id, session_no) AS mad FROM med),
 win AS (SELECT *, CASE WHEN mad > 0 THEN greatest(least(raw, med + 3 * 1.4826 * mad), med - 3 * 1.4826 * mad) ELSE raw END AS x FROM mad),
 z AS (SELECT *, (x - avg(x) OVER g) / nullif(stddev_samp(x) OVER g, 0) AS z FROM win WINDOW g AS (PARTITION BY factor_id, session_no))"""
@@ -128,7 +128,7 @@ def e08_st17_first_per_key(spark, at):
     return d.withColumn("n", n).where("n = 1").select("doc_id", "ticker", "kind")
 
 
-@query("""WITH d AS (SELECT DISTINCT ticker, CAST(observed_at AS DATE) AS day FROM documents WHERE ticker IS NOT NULL), s AS (SELECT session_date AS day FROM trading_sessions WHERE session_no <= 40), t AS (SELECT DISTINCT ticker FROM d)
+@query("""WITH d AS (SELECT DISTINCT ticker, CAST(observed_at AS DATE) AS day FROM documents WHERE ticker IS NOT NULL), s AS (SELECT session_date AS day FROM trading_sessions), t AS (SELECT DISTINCT ticker FROM d)
 SELECT ticker, count(*) AS expected, count(d.day) AS seen FROM t CROSS JOIN s LEFT JOIN d USING (ticker, day) GROUP BY 1""")
 def e16_expected_slots(spark, at):
     """Of all sessions as expected days, those on which something was seen: counted without forming the missing ones."""

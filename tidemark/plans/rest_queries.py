@@ -91,7 +91,7 @@ def l15_fills_within_cash(spark, at):
 
 
 @query(f"""WITH {RET}, s AS (SELECT *, close / nullif(lag(close, 20) {LAG}, 0) - 1 AS score FROM ret), k AS (SELECT session_no, security_id, score, lead(ret) {LAG} AS next, rank() OVER (PARTITION BY session_no ORDER BY score DESC NULLS LAST) AS rank, ntile(5) OVER (PARTITION BY session_no, score IS NULL ORDER BY score, security_id) AS grp FROM s)
-SELECT session_no, security_id, {r('score', 'score')}, rank, grp, {r('next / count(*) OVER (PARTITION BY session_no, grp)', 'contribution')} FROM k WHERE score IS NOT NULL AND session_no % 10 = 0""")
+SELECT session_no, security_id, {r('score', 'score')}, rank, grp, {r('next / count(*) OVER (PARTITION BY session_no, grp)', 'contribution')} FROM k WHERE score IS NOT NULL""")
 def l18_l19_l20_c16_replay(spark, at):
     """Per decision day and security: score, rank, group and contribution to the group's next return; filtered by day or security it answers both."""
     s = panel(spark, at, "adj_close", "close").withColumn("ret", series.change("adj_close")).withColumns({"score": series.change("close", 20), "next": F.lead("ret").over(series.by_security())})
@@ -143,7 +143,7 @@ def c14_k10_master(spark, at):
 
 
 @query(f"""WITH {BARS_SQL}, f AS (SELECT session_no, max(close) AS level, count(*) AS n FROM bars WHERE close > 0 GROUP BY 1), l AS (SELECT session_no, lead(max(close), 5) OVER (ORDER BY session_no) AS ahead FROM bars WHERE close > 0 GROUP BY 1)
-SELECT CAST(t.session_no AS BIGINT) AS session_no, round(level, 3) + 0.0 AS level, round(ahead / level - 1, 5) + 0.0 AS label, last_value(n IGNORE NULLS) OVER (ORDER BY t.session_no ROWS 5 PRECEDING) AS known FROM trading_sessions t LEFT JOIN f USING (session_no) LEFT JOIN l USING (session_no)""")
+SELECT CAST(t.session_no AS BIGINT) AS session_no, level, round(ahead / level - 1, 5) + 0.0 AS label, last_value(n IGNORE NULLS) OVER (ORDER BY t.session_no ROWS 5 PRECEDING) AS known FROM trading_sessions t LEFT JOIN f USING (session_no) LEFT JOIN l USING (session_no)""")
 def c08_regime_dataset(spark, at):
     """Features and labels on one calendar, features filled for at most five sessions."""
     f = bars(spark, at, "close").where("close > 0").groupBy("session_no").agg(F.max("close").alias("level"), F.count(F.lit(1)).alias("n"))
@@ -151,7 +151,7 @@ def c08_regime_dataset(spark, at):
     w = Window.partitionBy().orderBy("session_no")
     labelled = f.withColumn("ahead", F.lead("level", 5).over(w))
     t = sessions(spark, at).select(F.col("session_no").cast("bigint").alias("session_no")).join(F.broadcast(labelled), "session_no", "left")
-    return t.select("session_no", (F.round("level", 3) + F.lit(0.0)).alias("level"), (F.round(F.col("ahead") / F.col("level") - 1, 5) + F.lit(0.0)).alias("label"), F.last("n", ignorenulls=True).over(w.rowsBetween(-5, 0)).alias("known"))
+    return t.select("session_no", "level", (F.round(F.col("ahead") / F.col("level") - 1, 5) + F.lit(0.0)).alias("label"), F.last("n", ignorenulls=True).over(w.rowsBetween(-5, 0)).alias("known"))
 
 
 @query("""SELECT o_custkey, list_position_key AS place, k AS orderkey, p AS price FROM (SELECT o_custkey, unnest(list(o_orderkey ORDER BY o_orderkey)) AS k, unnest(list(o_totalprice ORDER BY o_orderkey)) AS p, unnest(generate_series(1, count(*))) AS list_position_key FROM orders GROUP BY 1) WHERE p > 200000""")
@@ -221,17 +221,17 @@ def j14_one_to_one(spark, at):
     return e.select("security_id").distinct().join(c, "security_id", "left").select("security_id", (F.round("cap", 4) + F.lit(0.0)).alias("cap"), F.when(F.col("cap").isNull(), "MISSING").otherwise("OK").alias("state"))
 
 
-@query("""WITH n AS (SELECT date, regexp_replace(upper(trim(ticker)), '[./]', '-', 'g') AS t, TRY_CAST(CAST(close AS VARCHAR) AS DOUBLE) AS c, ingestion_run_id FROM coverage_bars WHERE ticker IS NOT NULL AND date BETWEEN DATE '2025-01-01' AND DATE '2025-06-30'),
+@query("""WITH n AS (SELECT date, regexp_replace(upper(trim(ticker)), '[./]', '-', 'g') AS t, TRY_CAST(CAST(close AS VARCHAR) AS DOUBLE) AS c, ingestion_run_id FROM coverage_bars WHERE ticker IS NOT NULL AND date IS NOT NULL),
 k AS (SELECT date, t, arg_max(c, ingestion_run_id) AS c FROM n WHERE isfinite(c) AND c > 0 GROUP BY ALL) SELECT t AS ticker, count(*) AS days, round(max(c), 4) + 0.0 AS highest FROM k GROUP BY 1""")
 def proj01_proj02_proj11_normalise(spark, at):
     """Names in one form, texts as numbers where they are some, bad rows out, one row per name and day."""
-    c = load(spark, at, "coverage_bars", "date", "ticker", "close", "ingestion_run_id").where("ticker IS NOT NULL AND date BETWEEN DATE '2025-01-01' AND DATE '2025-06-30'")
+    c = load(spark, at, "coverage_bars", "date", "ticker", "close", "ingestion_run_id").where("ticker IS NOT NULL AND date IS NOT NULL")
     n = c.select("date", F.regexp_replace(F.upper(F.trim("ticker")), "[./]", "-").alias("ticker"), F.expr("try_cast(cast(close AS string) AS double)").alias("c"), "ingestion_run_id")
     k = accepted(n.where(finite(F.col("c")) & (F.col("c") > 0)), ("date", "ticker"), ("ingestion_run_id",), ("c",))
     return k.groupBy("ticker").agg(F.count(F.lit(1)).alias("days"), (F.round(F.max("c"), 4) + F.lit(0.0)).alias("highest"))
 
 
-@query(f"""WITH {BARS_SQL}, s AS (SELECT DISTINCT security_id FROM bars WHERE session_no <= 5) SELECT s.security_id, count(*) AS slots, count(close) AS filled FROM s CROSS JOIN trading_sessions t LEFT JOIN bars b ON b.security_id = s.security_id AND b.session_no = t.session_no WHERE t.session_no <= 100 GROUP BY 1""")
+@query(f"""WITH {BARS_SQL}, s AS (SELECT DISTINCT security_id FROM bars) SELECT s.security_id, count(*) AS slots, count(close) AS filled FROM s CROSS JOIN trading_sessions t LEFT JOIN bars b ON b.security_id = s.security_id AND b.session_no = t.session_no GROUP BY 1""")
 def proj19_reindex(spark, at):
     """Every security on the exact axis of all sessions, the missing ones counted."""
     b = bars(spark, at, "close")

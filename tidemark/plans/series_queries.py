@@ -229,9 +229,7 @@ def w22_basket_index(spark, at):
 @query(sql(RET + f", n AS (SELECT *, product(1 + coalesce(ret, 0)) {over('UNBOUNDED PRECEDING AND CURRENT ROW')} AS nav FROM ret) SELECT security_id, session_no, {r('nav', 'nav')}, {r(f'nav / greatest(max(nav) {over('UNBOUNDED PRECEDING AND CURRENT ROW')}, 1) - 1', 'drawdown')} FROM n"))
 def w23_drawdown(spark, at):
     """Wealth and its drawdown from the running maximum, the starting capital of 1 included."""
-    upto = S.by_security().rowsBetween(Window.unboundedPreceding, 0)
-    df = returns(spark, at).withColumn("nav", F.product(1 + F.coalesce(F.col("ret"), F.lit(0.0))).over(upto))
-    return rounded(df.withColumn("drawdown", F.col("nav") / F.greatest(F.max("nav").over(upto), F.lit(1.0)) - 1), "nav", "drawdown")
+    return rounded(S.with_drawdown(returns(spark, at), "ret"), "nav", "drawdown")
 
 
 @query(sql(f", f AS (SELECT *, (volume - lag(volume) {over()}) * close AS flow FROM panel) SELECT security_id, session_no, {r('flow', 'flow')}, " + ", ".join(r(f"CASE WHEN count(flow) {last(n)} = {n} THEN sum(flow) {last(n)} END", f"flow_{n}") for n in (5, 20)) + " FROM f"))
@@ -256,7 +254,7 @@ def w26_first_touch(spark, at):
 @query(sql(RET + f"""
 , w AS (SELECT a.session_no AS day, b.security_id, b.session_no, (b.ret - a.m) / nullif(a.s, 0) AS z FROM
   (SELECT security_id, session_no, avg(ret) {last(20)} AS m, stddev_samp(ret) {last(20)} AS s, count(ret) {last(20)} AS n FROM ret) a
-  JOIN ret b ON b.security_id = a.security_id AND b.session_no BETWEEN a.session_no - 19 AND a.session_no WHERE a.n = 20 AND a.s > 0 AND a.session_no % 20 = 0),
+  JOIN ret b ON b.security_id = a.security_id AND b.session_no BETWEEN a.session_no - 19 AND a.session_no WHERE a.n = 20 AND a.s > 0),
 t AS (SELECT day, session_no, sum(z) AS s, sum(z * z) AS q, count(*) AS n FROM w GROUP BY ALL)
 SELECT day AS session_no, max(n) AS members, round(sum(s * s - q) / (19.0 * max(n) * (max(n) - 1)), 6) + 0.0 AS correlation FROM t GROUP BY day HAVING max(n) > 1"""))
 def w27_average_correlation(spark, at):
