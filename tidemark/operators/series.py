@@ -20,15 +20,16 @@ def by_security(key: str = KEY, axis: str = AXIS):
     return Window.partitionBy(key).orderBy(axis)
 
 
-def dense(panel: DataFrame, calendar: DataFrame, key: str = KEY, axis: str = AXIS) -> DataFrame:
-    """``panel`` with a row for every calendar session between a key's first and last one.
+def dense(panel: DataFrame, key: str = KEY, axis: str = AXIS) -> DataFrame:
+    """``panel`` (distinct on key and axis) with a row for every session between a key's first and last one.
 
-    The calendar's other columns are not needed: sessions are numbered without gaps, so the axis of a key is
-    a sequence. The spine and the panel meet in one join on (key, axis).
+    Sessions are numbered without gaps, so a row is followed by as many empty ones as lie before the key's
+    next row. That takes the one shuffle by key that the windows over the panel need anyway.
     """
-    span = panel.groupBy(key).agg(F.min(axis).alias("_from"), F.max(axis).alias("_to"))
-    spine = span.select(key, F.explode(F.sequence("_from", "_to")).alias(axis))
-    return spine.join(panel, [key, axis], "left")
+    rest = [c for c in panel.columns if c not in (key, axis)]
+    here = F.col("_at") == F.col(axis)
+    gap = F.sequence(F.col(axis), F.coalesce(F.lead(axis).over(by_security(key, axis)) - 1, F.col(axis)))
+    return panel.withColumn("_gap", gap).withColumn("_at", F.explode("_gap")).select(key, F.col("_at").alias(axis), *[F.when(here, F.col(c)).alias(c) for c in rest])
 
 
 def frame(n: int, key: str = KEY, axis: str = AXIS):

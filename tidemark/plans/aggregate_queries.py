@@ -118,15 +118,6 @@ def a11_a12_a13_ic_summary(spark, at):
     return hac.join(F.broadcast(plain)).select("n", r6(F.col("mean")).alias("mean"), r6(F.col("mean") / F.col("sd")).alias("ir"), r6(F.col("hit")).alias("hit"), r6(F.col("se")).alias("se"), r6(F.col("t")).alias("t"))
 
 
-@query("""WITH g AS (SELECT factor_id, count(DISTINCT (date, security_id)) AS n FROM factor_values GROUP BY 1), p AS (SELECT factor_id, 1.0 / n AS p FROM g),
-k AS (SELECT *, row_number() OVER (ORDER BY p, factor_id) AS r, count(*) OVER () AS m FROM p)
-SELECT factor_id, round(least(min(p * m / r) OVER (ORDER BY r DESC ROWS UNBOUNDED PRECEDING), 1), 9) + 0.0 AS q FROM k""")
-def a14_false_discovery(spark, at):
-    """Benjamini-Hochberg values over the factors, of one over their row counts as stand-in for p-values."""
-    g = load(spark, at, "factor_values", "factor_id", "date", "security_id").groupBy("factor_id").agg(F.countDistinct("date", "security_id").alias("n")).withColumn("p", 1.0 / F.col("n"))
-    return stats.benjamini_hochberg(g, "p", [], "factor_id").select("factor_id", (F.round("q", 9) + 0.0).alias("q"))
-
-
 @query(f"""WITH {IC}, v AS (SELECT * FROM ic WHERE ic IS NOT NULL), w AS (SELECT session_no, ntile(3) OVER (ORDER BY session_no) AS part, ic, CASE WHEN count(*) OVER z >= 20 THEN avg(CASE WHEN ic > 0 THEN 1.0 ELSE 0 END) OVER z END AS hit63 FROM v WINDOW z AS (ORDER BY session_no ROWS 62 PRECEDING))
 SELECT part, count(*) AS n, {r('avg(ic)', 'mean')}, {r('min(hit63)', 'worst_hit')} FROM w GROUP BY 1""")
 def a15_g15_stability(spark, at):

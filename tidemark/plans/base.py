@@ -36,7 +36,7 @@ def bars(spark: SparkSession, at: str, *columns: str) -> DataFrame:
 
 def panel(spark: SparkSession, at: str, *columns: str) -> DataFrame:
     """``bars`` on the dense session axis."""
-    return series.dense(bars(spark, at, *columns), sessions(spark, at))
+    return series.dense(bars(spark, at, *columns))
 
 
 _LIST = ", ".join(f"CASE WHEN isfinite(v.{c}) THEN v.{c} END AS {c}" for c in PRICES)

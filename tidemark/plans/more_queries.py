@@ -180,37 +180,6 @@ def w13_market_filter(spark, at):
     return m.select("session_no", F.when(F.lag("m20", 5).over(w).isNull(), "UNKNOWN").when(up, "UP").otherwise("OTHER").alias("regime"))
 
 
-@query(f"WITH {RET}, g AS (SELECT session_no, grp, avg(close) AS c FROM ret WHERE close > 0 GROUP BY ALL), p AS (SELECT a.session_no, a.grp, a.c / b.c AS ratio FROM g a JOIN g b ON b.session_no = a.session_no AND b.grp = '0' WHERE a.grp <> '0') SELECT session_no, grp, {r('ratio', 'ratio')}, " + ", ".join(r(f"ratio / lag(ratio, {n}) OVER (PARTITION BY grp ORDER BY session_no) - 1", f"change_{n}") for n in (5, 20)) + " FROM p")
-def w16_w17_w36_ratios(spark, at):
-    """Each group's level against that of one group, and its changes."""
-    g = returns(spark, at, "close").where("close > 0").groupBy("session_no", "grp").agg(F.avg("close").alias("c"))
-    base = g.where("grp = '0'").select("session_no", F.col("c").alias("b"))
-    p = g.where("grp <> '0'").join(base, "session_no").withColumn("ratio", F.col("c") / F.col("b"))
-    w = Window.partitionBy("grp").orderBy("session_no")
-    return p.select("session_no", "grp", r6(F.col("ratio")).alias("ratio"), *[r6(F.col("ratio") / F.lag("ratio", n).over(w) - 1).alias(f"change_{n}") for n in (5, 20)])
-
-
-@query("""WITH o AS (SELECT security_id, date AS d, CAST(knowledge_date AS DATE) AS known, active FROM pit_membership WHERE knowledge_date IS NOT NULL), s AS (SELECT known, arg_max(security_id, (d, security_id)) AS newest, count(*) AS rows FROM o GROUP BY 1)
-SELECT strftime(known, '%Y-%m-%d') AS day, newest, rows, CAST(sum(rows) OVER (ORDER BY known) AS BIGINT) AS so_far FROM s""")
-def w18_u09_by_availability(spark, at):
-    """Rows by the day on which they became known, the newest of each and how many are known so far."""
-    o = load(spark, at, "pit_membership", "security_id", "date", "knowledge_date").where("knowledge_date IS NOT NULL")
-    s = o.groupBy("knowledge_date").agg(F.max_by("security_id", F.struct("date", "security_id")).alias("newest"), F.count(F.lit(1)).alias("rows"))
-    # a row per day
-    return s.select(day("knowledge_date").alias("day"), "newest", "rows", F.sum("rows").over(Window.partitionBy().orderBy("knowledge_date")).alias("so_far"))
-
-
-@query(f"""WITH {RET}, m AS (SELECT *, lag(adj_close, 5) {LAG} / nullif(lag(adj_close, 65) {LAG}, 0) - 1 AS mom FROM ret), k AS (SELECT *, percent_rank() OVER (PARTITION BY session_no ORDER BY mom) AS p FROM m WHERE mom IS NOT NULL AND ret IS NOT NULL)
-SELECT session_no, {r('avg(ret) FILTER (p >= 0.9)', 'winners')}, {r('avg(ret) FILTER (p <= 0.1)', 'losers')}, {r('avg(ret) FILTER (p >= 0.9) - avg(ret) FILTER (p <= 0.1)', 'spread')}, count(*) FILTER (ret < -0.05) AS crashes FROM k GROUP BY 1""")
-def w28_g26_momentum_legs(spark, at):
-    """Returns of the tenths with the most and the least lagged momentum."""
-    w = series.by_security()
-    m = returns(spark, at).withColumn("mom", series.ratio(F.lag("adj_close", 5).over(w), F.lag("adj_close", 65).over(w)) - 1).where("mom IS NOT NULL AND ret IS NOT NULL")
-    k = m.withColumn("p", F.percent_rank().over(Window.partitionBy("session_no").orderBy("mom")))
-    top, low = F.avg(F.when(F.col("p") >= 0.9, F.col("ret"))), F.avg(F.when(F.col("p") <= 0.1, F.col("ret")))
-    return k.groupBy("session_no").agg(r6(top).alias("winners"), r6(low).alias("losers"), r6(top - low).alias("spread"), F.count_if(F.col("ret") < -0.05).alias("crashes"))
-
-
 @query(f"""WITH {RET}, k AS (SELECT *, ntile(5) OVER (PARTITION BY session_no ORDER BY close, security_id) AS g FROM ret WHERE close > 0 AND ret IS NOT NULL), m AS (SELECT session_no, g, avg(ret) AS m FROM k GROUP BY ALL),
 s AS (SELECT session_no, g, m, rank() OVER (PARTITION BY session_no ORDER BY m) AS q FROM m) SELECT session_no, {r('regr_slope(m, g)', 'slope')}, {r('corr(g, q)', 'monotone')} FROM s GROUP BY 1 HAVING count(*) = 5""")
 def a16_g16_monotonicity(spark, at):

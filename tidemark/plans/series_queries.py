@@ -166,28 +166,6 @@ def w12_setup_features(spark, at):
     return df.select(*ID, *[r6(F.col(c)).alias(c) for c in names], shape.alias("shape"))
 
 
-@query(sql(RET + f"""
-, f AS (SELECT *, close / max(close) {last(252)} - 1 AS dd, CASE WHEN count(ret) {last(20)} = 20 THEN stddev_samp(ret) {last(20)} * sqrt(252.0) END AS rv,
-  open / nullif(lag(close) {over()}, 0) - 1 AS gap, (close - low) / nullif(high - low, 0) AS location, abs(ret) / nullif(close * volume, 0) * 1e9 AS illiquidity,
-  list_sort(list(volume) FILTER (WHERE volume IS NOT NULL) {last(20)}) AS vs,
-  sum(CASE WHEN ret < 0 THEN volume ELSE 0 END) {last(20)} / nullif(sum(volume) {last(20)}, 0) AS down_share FROM ret)
-SELECT security_id, session_no, {r('dd', 'drawdown_252')}, {r('rv', 'realised_vol')}, {r('gap', 'gap')}, {r('location', 'close_location')}, {r('illiquidity', 'illiquidity')},
-  {r('volume / nullif(CASE WHEN len(vs) = 20 THEN (vs[10] + vs[11]) / 2 END, 0)', 'volume_shock')}, {r('down_share', 'down_volume_share')} FROM f"""))
-def w14_price_features(spark, at):
-    """Drawdown, realised volatility, gap, close location, illiquidity, volume against its rolling median, share of volume on falling days."""
-    df = returns(spark, at, "open", "high", "low", "close", "volume")
-    f = {
-        "drawdown_252": F.col("close") / F.max("close").over(S.frame(252)) - 1,
-        "realised_vol": S.full(F.stddev_samp("ret"), "ret", 20) * 252.0**0.5,
-        "gap": S.ratio(F.col("open"), F.lag("close").over(S.by_security())) - 1,
-        "close_location": S.ratio(F.col("close") - F.col("low"), F.col("high") - F.col("low")),
-        "illiquidity": S.ratio(F.abs("ret"), F.col("close") * F.col("volume")) * 1e9,
-        "volume_shock": S.ratio(F.col("volume"), S.rolling_median("volume", 20)),
-        "down_volume_share": S.ratio(F.sum(F.when(F.col("ret") < 0, F.col("volume")).otherwise(0.0)).over(S.frame(20)), F.sum("volume").over(S.frame(20))),
-    }
-    return rounded(df.withColumns(f), *f)
-
-
 @query(sql(f", l AS (SELECT *, list(close) FILTER (WHERE close IS NOT NULL) {last(60)} AS c FROM bars) SELECT security_id, session_no, {r('CASE WHEN close IS NOT NULL AND len(c) = 60 THEN len(list_filter(c, lambda x: x <= close)) / 60.0 END', 'percentile_60')} FROM l", dense=False))
 def w15_rolling_percentile(spark, at):
     """Share of the last 60 closes not above the current one."""

@@ -170,20 +170,6 @@ def x18_breadth(spark, at):
     return b.select("session_no", "n", "up", "down", r6(100.0 * F.col("up") / F.col("n")).alias("up_pct"), r6(100.0 * (F.col("up") - F.col("down")) / F.col("n")).alias("net_pct"), r6((F.col("up") + 0.5) / (F.col("down") + 0.5)).alias("ratio"))
 
 
-@query("""
-, m AS (SELECT *, CASE WHEN count(close) OVER w20 = 20 THEN close > avg(close) OVER w20 END AS above, CASE WHEN count(close) OVER w60 = 60 THEN high >= max(high) OVER w60 END AS new_high FROM ret
-  WINDOW w20 AS (PARTITION BY security_id ORDER BY session_no ROWS 19 PRECEDING), w60 AS (PARTITION BY security_id ORDER BY session_no ROWS 59 PRECEDING))
-SELECT session_no, count(ret) AS n, round(avg(ret), 6) + 0.0 AS mean_return, round(stddev_samp(ret), 6) + 0.0 AS dispersion, round(avg(CASE WHEN above THEN 1.0 WHEN NOT above THEN 0.0 END), 6) + 0.0 AS above_ma20,
-  count(*) FILTER (new_high) AS new_highs FROM m GROUP BY 1 HAVING count(ret) > 1""", RETURNS)
-def x19_market_breadth(spark, at):
-    """Share above the moving average, new highs, mean return and dispersion of each session."""
-    df = panel(spark, at, "adj_close", "close", "high").withColumn("ret", series.change("adj_close"))
-    df = df.withColumn("above", series.full(F.avg("close"), "close", 20)).withColumn("above", (F.col("close") > F.col("above")).cast("double"))
-    df = df.withColumn("new_high", F.when(F.count("close").over(series.frame(60)) == 60, F.col("high") >= F.max("high").over(series.frame(60))))
-    out = df.groupBy("session_no").agg(F.count("ret").alias("n"), F.avg("ret").alias("mean_return"), F.stddev_samp("ret").alias("dispersion"), F.avg("above").alias("above_ma20"), F.count_if("new_high").alias("new_highs"))
-    return out.where("n > 1").select("session_no", "n", *[r6(F.col(c)).alias(c) for c in ("mean_return", "dispersion", "above_ma20")], "new_highs")
-
-
 @query(f"""
 , v AS (SELECT day, factor_id, count(raw) AS n_raw, count(clean) AS n_clean, count(*) FILTER (raw IS NOT NULL AND clean IS NULL) AS lost, corr(raw, clean) AS c, stddev_pop(raw) AS s, stddev_pop(clean) AS t FROM fv GROUP BY ALL)
 SELECT day, factor_id, n_raw, n_clean, lost, round(CASE WHEN s > 1e-12 AND t > 1e-12 THEN c END, 5) + 0.0 AS correlation FROM v""")
