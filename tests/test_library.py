@@ -69,30 +69,55 @@ def test_confirmed_state_and_cooldown_equal_the_sequential_rules(spark):
     assert kept == want
 
 
-def test_portfolio_equals_a_replay(spark):
+def test_portfolio_equals_a_replay_of_cash_and_quantities(spark):
     rng = random.Random(8)
-    returns = {(s, t): (None if rng.random() < 0.05 else rng.gauss(0, 0.02)) for s in "abcdef" for t in range(1, 31)}
-    targets = [(1, p, s) for p, members in ((0, "abc"), (1, "bcd"), (2, "ef")) for s in members]
-    periods = [(0, 1, 10), (1, 11, 20), (2, 21, 30)]
-    got = portfolio.simulate(
-        spark.createDataFrame(targets, "grp int, period int, security_id string"),
-        spark.createDataFrame([(s, t, r) for (s, t), r in returns.items()], "security_id string, session_no int, ret double"),
-        spark.createDataFrame(periods, "period int, first int, last int"),
-        0.01,
+    prices = {}
+    for s in "abcdefg":
+        x = 20.0
+        for t in range(1, 32):
+            x *= 1 + rng.gauss(0, 0.02)
+            prices[s, t] = None if rng.random() < 0.06 or (s == "g" and t == 11) or (s == "f" and t > 24) else x
+    targets = [(1, p, s) for p, members in ((0, "abc"), (1, "bcdg"), (2, "ef")) for s in members]
+    periods, exits, cost = [(0, 1, 11), (1, 11, 21), (2, 21, 31)], [("b", 15), ("a", 2)], 0.01
+    prices["b", 15] = prices["a", 2] = 33.0
+    for _, p, s in targets:
+        first = periods[p][1]
+        if (s, first) != ("g", 11):
+            prices[s, first] = prices[s, first] or 21.0
+    got = portfolio.simulate_at_open(
+        spark.createDataFrame([(g, p, s, 1.0 / sum(q == p for _, q, _ in targets)) for g, p, s in targets], "grp int, period int, security_id string, weight double"),
+        spark.createDataFrame([(s, t, x) for (s, t), x in prices.items()], "security_id string, session_no int, price double"),
+        spark.createDataFrame(periods, "period int, trade int, until int"),
+        spark.createDataFrame(exits, "security_id string, exit int"),
+        cost,
     )
-    nav = {r["session_no"]: r["nav"] for r in got.collect()}
-    money, held = 1.0, {}
+    rows = {(r["period"], r["session_no"]): r for r in got.collect()}
+
+    def mark(s, t):
+        return next((prices[s, k] for k in range(t, max(t - 6, 0), -1) if prices[s, k] is not None), None)
+
+    cash, held, lost = 1.0, {}, False
     for p, first, last in periods:
-        members = [s for _, q, s in targets if q == p]
-        whole = sum(held.values()) or 1.0
-        drift = {s: v / whole for s, v in held.items()}
-        traded = sum(abs((1 / len(members) if s in members else 0) - drift.get(s, 0)) for s in {*members, *drift})
-        money *= 1 - 0.01 * traded
-        held = {s: money / len(members) for s in members}
+        names = [s for _, q, s in targets if q == p]
+        before = cash + sum(q * mark(s, first) for s, q in held.items())
+        bought = [s for s in names if prices[s, first] is not None]
+        after = before
+        for _ in range(60):
+            after = before - cost * sum(abs((after / len(names) if s in bought else 0) - held.get(s, 0) * (mark(s, first) or 0)) for s in {*bought, *held})
+        row = rows[p, first]
+        assert row["nav"] == pytest.approx(after, rel=1e-9) and row["nav"] + row["cost"] == pytest.approx(before, rel=1e-9)
+        held = {s: after / len(names) / prices[s, first] for s in bought}
+        cash = after * (1 - len(bought) / len(names))
+        assert row["cash"] == pytest.approx(1 - len(bought) / len(names))
         for t in range(first, last + 1):
-            held = {s: v * (1 + (returns[s, t] or 0)) for s, v in held.items()}
-            assert nav[t] == pytest.approx(sum(held.values()), rel=1e-12)
-        money = sum(held.values())
+            for s, out in exits:
+                if t == out and s in held and out > first:
+                    cash += held.pop(s) * mark(s, t)
+            values = [mark(s, t) for s in held]
+            nav = None if None in values else cash + sum(q * v for q, v in zip(held.values(), values))
+            lost = lost or nav is None
+            assert rows[p, t]["nav"] == (None if nav is None else pytest.approx(nav, rel=1e-9))
+    assert lost and rows[1, 15]["exited"] == 1
 
 
 def test_logistic_meets_its_gradient(spark):

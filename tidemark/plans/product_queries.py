@@ -54,31 +54,6 @@ def c01_factor_block(spark, at, month_ends=False):
     return z.select("security_id", "session_no", "factor_id", r6(F.col("value")).alias("raw"), r6(F.col("z")).alias("clean"), F.rank().over(best).alias("rank"))
 
 
-@query(f"""WITH {RET}, mom AS (SELECT *, close / nullif(lag(close, 20) {LAG}, 0) - 1 AS mom FROM panel),
-k AS (SELECT *, row_number() OVER (PARTITION BY session_no ORDER BY mom, security_id) AS r, count(*) OVER (PARTITION BY session_no) AS n FROM mom WHERE mom IS NOT NULL AND session_no % 20 = 0 AND session_no > 20),
-t AS (SELECT CAST(greatest(1, ceil((r - 1) * 5.0 / greatest(n - 1, 1))) AS INT) AS grp, CAST(session_no / 20 - 2 AS INT) AS period, security_id, session_no AS s FROM k WHERE n >= 5),
-h AS (SELECT t.grp, t.period, t.security_id, c.session_no, t.s, coalesce(x.ret, 0) AS ret, x.ret IS NULL AS miss FROM t JOIN trading_sessions c ON c.session_no BETWEEN t.s + 1 AND t.s + 20 LEFT JOIN ret x ON x.security_id = t.security_id AND x.session_no = c.session_no),
-g AS (SELECT *, product(1 + ret) OVER (PARTITION BY grp, period, security_id ORDER BY session_no) AS g FROM h),
-path AS (SELECT grp, period, session_no, avg(g) AS growth, count(*) AS members, count(*) FILTER (miss) AS missing FROM g GROUP BY ALL),
-e AS (SELECT grp, period + 1 AS period, security_id, g / sum(g) OVER (PARTITION BY grp, period) AS drifted, avg(g) OVER (PARTITION BY grp, period) AS endg FROM g WHERE session_no = s + 20),
-goal AS (SELECT grp, period, security_id, 1.0 / count(*) OVER (PARTITION BY grp, period) AS goal FROM t),
-tr AS (SELECT coalesce(goal.grp, e.grp) AS grp, coalesce(goal.period, e.period) AS period, sum(abs(coalesce(goal, 0) - coalesce(drifted, 0))) AS traded, count(goal) AS n FROM goal FULL JOIN e USING (grp, period, security_id) GROUP BY ALL),
-st AS (SELECT tr.grp, tr.period, product(coalesce(m, 1) * (1 - 0.001 * traded)) OVER (PARTITION BY tr.grp ORDER BY tr.period) AS start FROM tr LEFT JOIN (SELECT grp, period, max(endg) AS m FROM e GROUP BY ALL) x ON x.grp = tr.grp AND x.period = tr.period WHERE n > 0)
-SELECT path.grp, CAST(path.period AS INT) AS period, path.session_no, members, missing, round(start * growth, 6) + 0.0 AS nav FROM path JOIN st ON st.grp = path.grp AND st.period = path.period""")
-def l01_l04_l06_portfolio(spark, at):
-    """Five momentum portfolios, rebalanced every 20 sessions with costs."""
-    from tidemark.plans.base import sessions
-
-    df = panel(spark, at, "close", "adj_close").withColumns({"ret": series.change("adj_close"), "mom": series.change("close", 20)})
-    chosen = df.where("mom IS NOT NULL AND session_no % 20 = 0 AND session_no > 20").withColumn("grp", xsec.quantile_groups("mom", ["session_no"], "security_id"))
-    targets = chosen.where("grp IS NOT NULL").select("grp", (F.col("session_no") / 20 - 2).cast("int").alias("period"), "security_id")
-    calendar = sessions(spark, at).select(F.col("session_no").cast("int").alias("s"))
-    end = calendar.agg(F.max("s").alias("_end"))
-    periods = calendar.where("s % 20 = 0 AND s > 20").join(F.broadcast(end)).select((F.col("s") / 20 - 2).cast("int").alias("period"), (F.col("s") + 1).alias("first"), F.least(F.col("s") + 20, F.col("_end")).alias("last")).where("first <= last")
-    out = portfolio.simulate(targets, df.select("security_id", "session_no", "ret"), periods, 0.001)
-    return out.select("grp", "period", "session_no", "members", "missing", r6(F.col("nav")).alias("nav"))
-
-
 @query(f"""WITH {PANEL_SQL}, o AS (SELECT security_id, session_no, close AS price, volume, round(volume * 0.03) AS q FROM panel WHERE close > 0 AND volume > 0)
 SELECT security_id, session_no, round(2 + 0.1 * pow(least(q / volume, 0.025), 2) * 10000, 6) + 0.0 AS slippage, round(least(greatest(q * 0.005, 1), q * price * 0.01), 6) + 0.0 AS fee, least(q, floor(volume * 0.025)) AS filled, floor(10000 / (price + 0.005)) AS affordable FROM o""")
 def l08_l12_execution_costs(spark, at):
@@ -88,16 +63,6 @@ def l08_l12_execution_costs(spark, at):
     return o.select("security_id", "session_no", r6(portfolio.slippage_bps(q, v)).alias("slippage"), r6(portfolio.commission(q, p)).alias("fee"), portfolio.fillable(q, v).cast("double").alias("filled"), portfolio.affordable(F.lit(10_000.0), p).cast("double").alias("affordable"))
 
 
-@query("""WITH f AS (SELECT o_custkey, o_orderdate, o_orderkey, CASE WHEN o_orderstatus = 'F' THEN o_totalprice ELSE -o_totalprice END AS amount FROM orders)
-SELECT o_custkey, o_orderkey, round(sum(amount) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS UNBOUNDED PRECEDING), 2) + 0.0 AS balance FROM f""")
-def l13_l17_ledger(spark, at):
-    """Running balance of each account from its ordered entries."""
-    amount = F.when(F.col("o_orderstatus") == "F", F.col("o_totalprice")).otherwise(-F.col("o_totalprice"))
-    w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey").rowsBetween(Window.unboundedPreceding, 0)
-    o = load(spark, at, "orders", "o_custkey", "o_orderkey", "o_orderdate", "o_orderstatus", "o_totalprice")
-    return o.select("o_custkey", "o_orderkey", (F.round(F.sum(amount).over(w), 2) + F.lit(0.0)).alias("balance"))
-
-
 RULES = [
     ("LEGAL_NOTICE", r"lawsuit|class action|investigation"),
     ("EARNINGS", r"reports? .{0,20}quarter results|reported revenue|earnings"),

@@ -151,12 +151,12 @@ SELECT session_no, {r('level', 'level')}, {", ".join(r(f'level - lag(level, {n})
 def w16_level_features(spark, at):
     """A volatility level of the market, its differences, its place among the last 252 values, and the ratios of a shorter and a longer measure to it."""
     b = returns(spark, at, "volume").groupBy("session_no").agg(
-        (F.stddev_samp("ret") * 100).alias("level"), (F.median(F.abs("ret")) * 100).alias("near"), (F.stddev_samp(F.when(F.col("volume") > 0, F.col("ret"))) * 100).alias("far"), F.count("ret").alias("_n")
+        (F.stddev_samp("ret") * 100).alias("_level"), (F.median(F.abs("ret")) * 100).alias("near"), (F.stddev_samp(F.when(F.col("volume") > 0, F.col("ret"))) * 100).alias("far"), F.count("ret").alias("_n")
     ).where("_n > 1").withColumn("_all", F.lit(0))
     w = Window.partitionBy("_all").orderBy("session_no")
-    past = F.collect_list("level").over(w.rowsBetween(-251, 0))
-    place = F.when(F.size(past) == 252, F.size(F.filter(past, lambda x: x <= F.col("level"))) / 252.0)
-    out = {"level": F.col("level"), **{f"diff_{n}": F.col("level") - F.lag("level", n).over(w) for n in (1, 5, 20)}, "percentile_252": place, "near_ratio": S.ratio(F.col("near"), F.col("level")), "far_ratio": S.ratio(F.col("far"), F.col("level"))}
+    past = F.collect_list("_level").over(w.rowsBetween(-251, 0))
+    place = F.when(F.size(past) == 252, F.size(F.filter(past, lambda x: x <= F.col("_level"))) / 252.0)
+    out = {"level": F.col("_level"), **{f"diff_{n}": F.col("_level") - F.lag("_level", n).over(w) for n in (1, 5, 20)}, "percentile_252": place, "near_ratio": S.ratio(F.col("near"), F.col("_level")), "far_ratio": S.ratio(F.col("far"), F.col("_level"))}
     return b.select("session_no", *[r6(e).alias(c) for c, e in out.items()])
 
 

@@ -80,16 +80,6 @@ def a33_block_bootstrap(spark, at):
     return spark.createDataFrame([(float(np.quantile(means, 0.025)), float(x.mean()), float(np.quantile(means, 0.975)))], "low double, mean double, high double")
 
 
-@query("""WITH o AS (SELECT o_custkey, o_orderkey, o_totalprice AS cost, sum(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS UNBOUNDED PRECEDING) AS spent FROM orders)
-SELECT o_custkey, count(*) FILTER (spent <= 500000) AS filled, count(*) FILTER (spent > 500000 AND spent - cost < 500000) AS part, count(*) FILTER (spent - cost >= 500000) AS open FROM o GROUP BY 1""")
-def l15_fills_within_cash(spark, at):
-    """Orders filled in their sequence until the cash is used: a running sum against it."""
-    w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey").rowsBetween(Window.unboundedPreceding, 0)
-    o = load(spark, at, "orders", "o_custkey", "o_orderkey", "o_orderdate", "o_totalprice").withColumn("spent", F.sum("o_totalprice").over(w))
-    before = F.col("spent") - F.col("o_totalprice")
-    return o.groupBy("o_custkey").agg(F.count_if(F.col("spent") <= 500_000).alias("filled"), F.count_if((F.col("spent") > 500_000) & (before < 500_000)).alias("part"), F.count_if(before >= 500_000).alias("open"))
-
-
 @query(f"""WITH {RET}, s AS (SELECT *, close / nullif(lag(close, 20) {LAG}, 0) - 1 AS score FROM ret), k AS (SELECT session_no, security_id, score, lead(ret) {LAG} AS next, rank() OVER (PARTITION BY session_no ORDER BY score DESC NULLS LAST) AS rank, ntile(5) OVER (PARTITION BY session_no, score IS NULL ORDER BY score, security_id) AS grp FROM s)
 SELECT session_no, security_id, {r('score', 'score')}, rank, grp, {r('next / count(*) OVER (PARTITION BY session_no, grp)', 'contribution')} FROM k WHERE score IS NOT NULL""")
 def l18_l19_l20_c16_replay(spark, at):
