@@ -108,7 +108,7 @@ def l06_double_sort(spark, at):
 
 
 _TRADES = """t AS (SELECT o_custkey AS account, l_partkey % 50 AS instrument, o_orderdate AS d, l_orderkey AS k, l_linenumber AS n, CAST(CASE WHEN l_returnflag = 'R' THEN -l_quantity ELSE l_quantity END AS DOUBLE) AS q, CAST(l_extendedprice AS DOUBLE) / CAST(l_quantity AS DOUBLE) AS p FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_quantity > 0),
-g AS (SELECT account, instrument, list({'q': q, 'p': p} ORDER BY d, k, n) AS l FROM t GROUP BY ALL),
+g AS (SELECT account, instrument, list({'q': q, 'p': p} ORDER BY d, k, n, q, p) AS l FROM t GROUP BY ALL),
 z AS (SELECT account, instrument, list_reduce(list_prepend({'q': 0.0, 'c': 0.0, 'r': 0.0, 'x': 0.0}, list_transform(l, lambda y: {'q': y.q, 'c': y.p, 'r': 0.0, 'x': 0.0})),
   lambda s, y: CASE WHEN y.q > 0 THEN {'q': s.q + y.q, 'c': (s.q * s.c + y.q * y.c) / (s.q + y.q), 'r': s.r, 'x': s.x} WHEN s.q + y.q >= 0 THEN {'q': s.q + y.q, 'c': CASE WHEN s.q + y.q = 0 THEN 0.0 ELSE s.c END, 'r': s.r - y.q * (y.c - s.c), 'x': s.x} ELSE {'q': s.q, 'c': s.c, 'r': s.r, 'x': s.x + 1} END) AS e FROM g)"""
 
@@ -140,12 +140,12 @@ def l13_ledger_positions(spark, at):
     return e.select("account", "instrument", F.col("e.q").alias("quantity"), (F.round("e.c", 9) + 0.0).alias("average_cost"), (F.round("e.r", 6) + 0.0).alias("realised"), F.col("e.x").cast("int").alias("refused"))
 
 
-@query(f"""WITH {_TRADES}, p AS (SELECT instrument, arg_max(p, (d, k, n)) AS last FROM t WHERE d <= DATE '1998-01-01' GROUP BY 1), h AS (SELECT account, instrument, sum(q) AS q, sum(-q * p) AS paid FROM t WHERE d <= DATE '1998-01-01' GROUP BY ALL)
+@query(f"""WITH {_TRADES}, p AS (SELECT instrument, arg_max(p, (d, k, n, p)) AS last FROM t WHERE d <= DATE '1998-01-01' GROUP BY 1), h AS (SELECT account, instrument, sum(q) AS q, sum(-q * p) AS paid FROM t WHERE d <= DATE '1998-01-01' GROUP BY ALL)
 SELECT account, count(*) AS positions, count(*) FILTER (q <> 0 AND last IS NULL) AS unpriced, round(sum(paid), 2) + 0.0 AS cash, round(CASE WHEN count(*) FILTER (q <> 0 AND last IS NULL) = 0 THEN sum(paid) + sum(q * last) END, 2) + 0.0 AS equity FROM h LEFT JOIN p USING (instrument) GROUP BY 1""")
 def l17_mark_to_market(spark, at):
     """Cash and equity of each account at a day: quantity times the last price at or before it; without a price of a held instrument there is no equity."""
     t = _trades(spark, at).where("d <= DATE '1998-01-01'")
-    p = t.groupBy("instrument").agg(F.max_by("p", F.struct("d", "l_orderkey", "l_linenumber")).alias("last"))
+    p = t.groupBy("instrument").agg(F.max_by("p", F.struct("d", "l_orderkey", "l_linenumber", "p")).alias("last"))
     h = t.groupBy("account", "instrument").agg(F.sum("q").alias("q"), F.sum(-F.col("q") * F.col("p")).alias("paid"))
     unpriced = F.count_if((F.col("q") != 0) & F.col("last").isNull())
     g = h.join(p, "instrument", "left").groupBy("account").agg(F.count(F.lit(1)).alias("positions"), unpriced.alias("unpriced"), F.sum("paid").alias("c"), F.sum(F.col("q") * F.col("last")).alias("v"))
