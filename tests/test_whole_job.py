@@ -100,7 +100,7 @@ def test_membership_of_every_session(spark, tmp_path):
     assert got == {(days[i].isoformat(), s) for i, m in member.items() for s in m}
     got = {r["day"]: (r["expected"], r["observed"]) for r in rows(spark, "j07_proj08_coverage", at)}
     assert got == {days[i].isoformat(): (len(m), len(m - {s for s, k in (("a", 8), ("b", 14)) if k == i})) for i, m in member.items() if m}
-    got = {r["session_no"]: (r["members"], r["joined"]) for r in rows(spark, "u06_u12_membership_flow", at)}
+    got = {r["session_no"]: (r["members"], r["joined"]) for r in rows(spark, "u12_membership_flow", at)}
     assert got == {i + 1: (len(m), len(m - member.get(i - 1, set()))) for i, m in member.items() if m}
     assert got[7] == (2, 1)
 
@@ -142,8 +142,8 @@ def by_session(columns, records):
 
 
 def test_month_ends_of_the_factor_block(spark, small):
-    whole = by_session((df := QUERIES["c01_factor_block"](spark, small)).columns, df.collect())
-    part = by_session((df := QUERIES["c01_factor_block"](spark, small, month_ends=True)).columns, df.collect())
+    whole = by_session((df := QUERIES["c01_registered_factors"](spark, small)).columns, df.collect())
+    part = by_session((df := QUERIES["c01_registered_factors"](spark, small, month_ends=True)).columns, df.collect())
     ends = {x for (x,) in duck(small).execute("SELECT max(session_no) FROM trading_sessions GROUP BY date_trunc('month', session_date)").fetchall()}
     assert part == {s: x for s, x in whole.items() if s in ends} and len(part) > 20
 

@@ -48,6 +48,15 @@ def first_match(text: Column, rules: list[tuple[str, str]], rest: str) -> Column
     return out.otherwise(rest) if out is not None else F.lit(rest)
 
 
+def parse_date(text: Column, today: Column) -> Column:
+    """The day that a text names relative to ``today``: today, now, yesterday, a number of days, months or years back (5D, 3M, 2Y), or an ISO day; NULL for others."""
+    plain = F.lower(F.trim(text))
+    number = F.regexp_extract(plain, r"^([0-9]+)[dmy]$", 1)
+    n, unit = F.when(number != "", number.cast("int")), F.right(plain, F.lit(1))
+    back = F.when(unit == "d", F.date_sub(today, n)).when(unit == "m", F.add_months(today, -n)).otherwise(F.add_months(today, -12 * n))
+    return F.when(plain.isin("today", "now"), today).when(plain == "yesterday", F.date_sub(today, 1)).when(n.isNotNull(), back).otherwise(F.try_to_date(plain, "yyyy-MM-dd"))
+
+
 def digest(*columns: Column) -> Column:
     """SHA-256 of the values, NULL told apart from empty."""
     return F.sha2(F.concat_ws("\x1f", *[F.coalesce(c.cast("string"), F.lit("\x00")) for c in columns]), 256)

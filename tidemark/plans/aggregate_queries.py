@@ -109,7 +109,7 @@ def a09_a10_information_coefficient(spark, at):
 @query(f"""WITH {IC}, d AS (SELECT session_no, ic, ic - avg(ic) OVER () AS d FROM ic WHERE ic IS NOT NULL), g AS (SELECT *, {", ".join(f"d * lag(d, {j}) OVER (ORDER BY session_no) AS g{j}" for j in range(1, 5))} FROM d),
 s AS (SELECT count(*) AS n, avg(ic) AS mean, stddev_samp(ic) AS sd, avg(CASE WHEN ic > 0 THEN 1.0 ELSE 0 END) AS hit, (sum(d * d) + {" + ".join(f"2 * {1 - j / 5} * coalesce(sum(g{j}), 0)" for j in range(1, 5))}) / count(*) AS lrv FROM g)
 SELECT n, {r('mean', 'mean')}, {r('mean / sd', 'ir')}, {r('hit', 'hit')}, {r('sqrt(greatest(lrv, 0) / nullif(n, 0))', 'se')}, {r('mean / sqrt(lrv / nullif(n, 0))', 't')} FROM s""")
-def a11_a12_a13_ic_summary(spark, at):
+def a11_a12_ic_summary(spark, at):
     """Mean, information ratio and hit rate of the coefficients, with a HAC standard error of four lags."""
     ic = _ic(spark, at).where(F.col("ic").isNotNull())
     hac = stats.newey_west(ic, "ic", "session_no", 4)
@@ -120,7 +120,7 @@ def a11_a12_a13_ic_summary(spark, at):
 
 @query(f"""WITH {IC}, v AS (SELECT * FROM ic WHERE ic IS NOT NULL), w AS (SELECT session_no, ntile(3) OVER (ORDER BY session_no) AS part, ic, CASE WHEN count(*) OVER z >= 20 THEN avg(CASE WHEN ic > 0 THEN 1.0 ELSE 0 END) OVER z END AS hit63 FROM v WINDOW z AS (ORDER BY session_no ROWS 62 PRECEDING))
 SELECT part, count(*) AS n, {r('avg(ic)', 'mean')}, {r('min(hit63)', 'worst_hit')} FROM w GROUP BY 1""")
-def a15_g15_stability(spark, at):
+def a15_stability(spark, at):
     """Mean of each third of the time, and the worst rolling hit rate in it."""
     order = Window.partitionBy().orderBy("session_no")
     z = order.rowsBetween(-62, 0)
@@ -131,7 +131,7 @@ def a15_g15_stability(spark, at):
 
 @query("""WITH fv AS (SELECT DISTINCT date, security_id, factor_id, CASE WHEN isfinite(raw_value) THEN raw_value END AS raw, CASE WHEN isfinite(clean_value) THEN clean_value END AS clean FROM factor_values)
 SELECT factor_id, strftime(date, '%Y-%m') AS month, count(*) AS n, round(count(clean) / count(*), 6) + 0.0 AS coverage, count(*) - count(raw) AS missing FROM fv GROUP BY ALL""")
-def a18_g02_g17_data_quality(spark, at):
+def a18_g17_data_quality(spark, at):
     """Coverage of each factor and month."""
     f = load(spark, at, "factor_values", "date", "security_id", "factor_id", "raw_value", "clean_value")
     ok = lambda c: F.when(~F.isnan(c) & (F.abs(c) != float("inf")), F.col(c))
@@ -152,7 +152,7 @@ def _top(spark: SparkSession, at: str):
 
 @query(f"""WITH {TOP}, j AS (SELECT t.session_no, count(*) AS n, count(p.security_id) AS kept FROM t LEFT JOIN t p ON p.security_id = t.security_id AND p.session_no = t.session_no - 20 GROUP BY 1)
 SELECT session_no, n, {r('1 - kept / n', 'turnover')} FROM j""")
-def a20_a28_turnover(spark, at):
+def a20_turnover(spark, at):
     """Share of the top fifth that was not in it at the rebalance before."""
     t = _top(spark, at)
     before = t.select((F.col("session_no") + 20).alias("session_no"), "security_id", F.lit(1).alias("_k"))
@@ -187,7 +187,7 @@ EVENTS = f"""{PANEL_SQL}, e AS (SELECT *, close > max(high) OVER (PARTITION BY s
 
 
 @query(f"WITH {EVENTS} SELECT year, count(*) AS n, {r('avg(gross)', 'mean')}, {r('median(gross)', 'med')}, {r('avg(CASE WHEN gross > 0 THEN 1.0 ELSE 0 END)', 'win')}, {r('avg(mae)', 'mae')} FROM o GROUP BY 1")
-def a23_a24_w39_event_outcomes(spark, at):
+def a23_event_summary(spark, at):
     """Outcomes of events from the next open to the open five sessions later, by year."""
     w = series.by_security()
     e = panel(spark, at, "open", "high", "low", "close").withColumns({"hit": F.col("close") > F.max("high").over(w.rowsBetween(-20, -1)), "buy": F.lead("open", 1).over(w), "sell": F.lead("open", 6).over(w), "worst": F.min("low").over(w.rowsBetween(1, 5))})
@@ -197,7 +197,7 @@ def a23_a24_w39_event_outcomes(spark, at):
 
 @query(f"""WITH {BARS_SQL}, m AS (SELECT date_trunc('month', session_date) AS m, max(session_no) AS no FROM trading_sessions GROUP BY 1)
 SELECT strftime(m, '%Y-%m') AS month, security_id, count(*) AS valid, round(avg(close * volume), 1) + 0.0 AS adv20 FROM m JOIN bars ON session_no BETWEEN no - 19 AND no AND close > 0 AND volume >= 0 GROUP BY ALL""")
-def a25_g06_month_end_volume(spark, at):
+def a25_month_end_volume(spark, at):
     """Mean dollar volume of the last 20 sessions of every month end, all months at once."""
     from tidemark.plans.base import sessions
 

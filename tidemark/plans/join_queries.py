@@ -313,7 +313,7 @@ def u02_month_replacement(spark, at):
 
 
 @query(f"WITH {MEMBERS} SELECT CAST(session_no AS BIGINT) AS session_no, count(*) AS members, CAST(coalesce(sum(CASE WHEN b THEN 0 ELSE 1 END), 0) AS BIGINT) AS joined FROM (SELECT session_no, security_id, lag(session_no) OVER (PARTITION BY security_id ORDER BY session_no) = session_no - 1 AS b0, coalesce(lag(session_no) OVER (PARTITION BY security_id ORDER BY session_no) = session_no - 1, false) AS b FROM a) GROUP BY 1")
-def u06_u12_membership_flow(spark, at):
+def u12_membership_flow(spark, at):
     """Members and newcomers of every session, from the replayed timeline."""
     a = members(spark, at).withColumn("_b", F.lag("session_no").over(Window.partitionBy("security_id").orderBy("session_no")))
     came = ~F.coalesce(F.col("_b") == F.col("session_no") - 1, F.lit(False))
@@ -332,19 +332,6 @@ def u13_f10_forced_exits(spark, at):
     return m.join(broadcast_if_bounded(spans, cal), "d").select("security_id", F.date_format("d", "yyyy-MM-dd").alias("delisted"), F.date_format("session_date", "yyyy-MM-dd").alias("exit_day"))
 
 
-@query("""
-WITH m AS (SELECT DISTINCT issuer_id, security_id FROM security_master_snapshots WHERE issuer_id IS NOT NULL), v AS (SELECT security_id, count(*) AS n FROM eligibility_audit WHERE eligible GROUP BY 1),
-r AS (SELECT issuer_id, m.security_id, coalesce(n, 0) AS n, row_number() OVER (PARTITION BY issuer_id ORDER BY coalesce(n, 0) DESC, m.security_id) AS k, count(*) OVER (PARTITION BY issuer_id) AS classes FROM m LEFT JOIN v USING (security_id))
-SELECT issuer_id, security_id, n AS months, classes FROM r WHERE k = 1""")
-def u14_representatives(spark, at):
-    """One security per issuer: the one that was eligible most often."""
-    m = load(spark, at, "security_master_snapshots", "issuer_id", "security_id").where(F.col("issuer_id").isNotNull()).distinct()
-    v = load(spark, at, "eligibility_audit", "security_id", "eligible").where("eligible").groupBy("security_id").agg(F.count(F.lit(1)).alias("n"))
-    w = Window.partitionBy("issuer_id")
-    r = m.join(v, "security_id", "left").withColumn("months", F.coalesce("n", F.lit(0)))
-    return r.select("issuer_id", "security_id", "months", F.count(F.lit(1)).over(w).alias("classes"), F.row_number().over(w.orderBy(F.col("months").desc(), "security_id")).alias("k")).where("k = 1").drop("k")
-
-
 @query("""
 SELECT count(*) AS rows, count(*) FILTER (security_id IS NULL OR date IS NULL) AS null_keys, count(*) - count(DISTINCT (security_id, date, ingestion_run_id)) AS repeated,
   count(*) FILTER (close IS NULL OR open IS NULL OR high IS NULL OR low IS NULL OR volume IS NULL) AS nulls,

@@ -10,7 +10,7 @@ from tidemark.operators import series, stats, xsec
 from tidemark.plans.base import BARS_SQL, PANEL_SQL, bars, panel, r6, sessions
 from tidemark.scale import finite, scratch_dir
 from tidemark.sources.tables import load
-from tidemark.sources.versions import fingerprint, read_csv
+from tidemark.sources.versions import read_csv
 
 QUERIES, ORACLES = {}, {}
 LAG = "OVER (PARTITION BY security_id ORDER BY session_no)"
@@ -48,7 +48,7 @@ def s01_s03_s08_pruned_scan(spark, at):
 
 
 @query("SELECT security_id, strftime(min(date), '%Y-%m-%d') AS first, strftime(max(date), '%Y-%m-%d') AS last, count(*) AS rows, count(open) AS opens, count(DISTINCT source) AS sources FROM coverage_bars GROUP BY 1")
-def s09_s12_summary(spark, at):
+def s09_summary(spark, at):
     """Extent and fill of each security in one aggregate."""
     return load(spark, at, "coverage_bars", "security_id", "date", "open", "source").groupBy("security_id").agg(
         day(F.min("date")).alias("first"), day(F.max("date")).alias("last"), F.count(F.lit(1)).alias("rows"), F.count("open").alias("opens"), F.countDistinct("source").alias("sources")
@@ -99,7 +99,7 @@ def s16_s21_s22_k15_csv(spark, at):
 
 @query("""WITH p AS (SELECT security_id, date, arg_max(close, (coalesce(source_asof, DATE '0001-01-01'), ingestion_run_id)) AS a FROM coverage_bars WHERE source = 'PRIMARY_FEED' AND isfinite(close) GROUP BY ALL), q AS (SELECT security_id, date, arg_max(close, (coalesce(source_asof, DATE '0001-01-01'), ingestion_run_id)) AS b FROM coverage_bars WHERE source = 'SECONDARY_FEED' AND isfinite(close) GROUP BY ALL)
 SELECT security_id, count(*) FILTER (b IS NULL) AS only_primary, count(*) FILTER (a IS NULL) AS only_secondary, count(*) FILTER (a = b) AS same, count(*) FILTER (a <> b) AS differs FROM p FULL JOIN q USING (security_id, date) GROUP BY 1""")
-def s23_c15_g07_g24_g25_two_feeds(spark, at):
+def s23_two_feeds(spark, at):
     """Two feeds of the same bars against each other: a full outer join by key."""
     c = load(spark, at, "coverage_bars", "security_id", "date", "close", "source", "source_asof", "ingestion_run_id").where(finite(F.col("close")))
     latest = F.max_by("close", F.struct("source_asof", "ingestion_run_id"))
@@ -110,7 +110,7 @@ def s23_c15_g07_g24_g25_two_feeds(spark, at):
 
 @query("""WITH m AS (SELECT date, security_id, coalesce(upper(trim(snapshot_type)), '') AS kind, active FROM pit_membership)
 SELECT strftime(date, '%Y-%m-%d') AS day, security_id, count(*) AS rows, count(DISTINCT active) > 1 AS conflict FROM m WHERE kind <> 'FORCED_EXIT' GROUP BY ALL HAVING count(*) > 1""")
-def s05_s06_s24_conflicts(spark, at):
+def s05_s24_conflicts(spark, at):
     """Repeated membership rows and whether they contradict each other."""
     kind = F.coalesce(F.upper(F.trim("snapshot_type")), F.lit(""))
     m = load(spark, at, "pit_membership", "date", "security_id", "snapshot_type", "active").where(kind != "FORCED_EXIT")
@@ -143,15 +143,6 @@ def proj14_proj15_o03_page(spark, at):
     return k.where("raw IS NOT NULL").orderBy("factor_id", "rank", "security_id").offset(5).limit(15)
 
 
-@query("""SELECT DISTINCT strftime(date, '%Y-%m-%d') AS day, security_id, array_to_string(list_filter([CASE WHEN NOT listed_pass THEN 'LISTED' END, CASE WHEN NOT asset_type_pass THEN 'ASSET_TYPE' END, CASE WHEN NOT exchange_pass THEN 'EXCHANGE' END,
-  CASE WHEN NOT price_pass THEN 'PRICE' END, CASE WHEN NOT liquidity_pass THEN 'LIQUIDITY' END], lambda x: x IS NOT NULL), ';') AS codes FROM eligibility_audit""")
-def proj22_u10_codes(spark, at):
-    """The codes of all gates that a row fails, in order."""
-    a = load(spark, at, "eligibility_audit", "date", "security_id", "listed_pass", "asset_type_pass", "exchange_pass", "price_pass", "liquidity_pass")
-    codes = F.array_compact(F.array(*[F.when(~F.col(f"{g}_pass"), g.upper()) for g in ("listed", "asset_type", "exchange", "price", "liquidity")]))
-    return a.select(day("date").alias("day"), "security_id", F.array_join(codes, ";").alias("codes")).distinct()
-
-
 @query("SELECT security_id, count(*) AS rows FROM coverage_bars WHERE security_id NOT IN (SELECT security_id FROM bar_quarantine WHERE security_id IS NOT NULL) GROUP BY 1")
 def proj24_isolation(spark, at):
     """Rows of securities that are in no quarantine."""
@@ -182,7 +173,7 @@ def w13_market_filter(spark, at):
 
 @query(f"""WITH {RET}, k AS (SELECT *, ntile(5) OVER (PARTITION BY session_no ORDER BY close, security_id) AS g FROM ret WHERE close > 0 AND ret IS NOT NULL), m AS (SELECT session_no, g, avg(ret) AS m FROM k GROUP BY ALL),
 s AS (SELECT session_no, g, m, rank() OVER (PARTITION BY session_no ORDER BY m) AS q FROM m) SELECT session_no, {r('regr_slope(m, g)', 'slope')}, {r('corr(g, q)', 'monotone')} FROM s GROUP BY 1 HAVING count(*) = 5""")
-def a16_g16_monotonicity(spark, at):
+def g16_monotonicity(spark, at):
     """Slope and rank correlation of groups' means over their numbers."""
     k = returns(spark, at, "close").where("close > 0 AND ret IS NOT NULL").withColumn("g", F.ntile(5).over(Window.partitionBy("session_no").orderBy("close", "security_id")))
     m = k.groupBy("session_no", "g").agg(F.avg("ret").alias("m"))
@@ -273,15 +264,8 @@ def f02_proj21_inference(spark, at):
     return m.groupBy("security_id").agg(F.first("kind").alias("kind"), F.count(F.lit(1)).alias("n")).where("n = 1").drop("n")
 
 
-@query("SELECT strftime(session_date, '%Y-%m-%d') AS day, strftime(session_date - INTERVAL 5 DAY, '%Y-%m-%d') AS d5, strftime(session_date - INTERVAL 3 MONTH, '%Y-%m-%d') AS m3, strftime(session_date - INTERVAL 2 YEAR, '%Y-%m-%d') AS y2 FROM trading_sessions")
-def f08_f09_relative_dates(spark, at):
-    """Dates some days, months and years back."""
-    d = F.col("session_date")
-    return sessions(spark, at).select(day(d).alias("day"), day(F.date_sub(d, 5)).alias("d5"), day(F.add_months(d, -3)).alias("m3"), day(F.add_months(d, -24)).alias("y2"))
-
-
 @query("SELECT doc_id, strftime(CAST(event_date AS TIMESTAMP) + INTERVAL 23 HOUR, '%Y-%m-%d %H:%M') AS available, date_diff('day', event_date, CAST(observed_at AS DATE)) AS age, CASE WHEN observed_at IS NULL OR event_date IS NULL THEN 'UNKNOWN' WHEN CAST(observed_at AS DATE) <= event_date + 1 THEN 'FRESH' WHEN CAST(observed_at AS DATE) <= event_date + 7 THEN 'RECENT' ELSE 'OLD' END AS freshness FROM documents")
-def f11_f13_g21_freshness(spark, at):
+def f11_freshness(spark, at):
     """When an event's value is available, and how fresh its document was when seen."""
     seen, e = F.to_date("observed_at"), F.col("event_date")
     label = F.when(seen.isNull() | e.isNull(), "UNKNOWN").when(seen <= F.date_add(e, 1), "FRESH").when(seen <= F.date_add(e, 7), "RECENT").otherwise("OLD")
@@ -289,16 +273,9 @@ def f11_f13_g21_freshness(spark, at):
     return d.select("doc_id", F.date_format(e.cast("timestamp") + F.expr("INTERVAL 23 HOURS"), "yyyy-MM-dd HH:mm").alias("available"), F.datediff(seen, e).cast("bigint").alias("age"), label.alias("freshness"))
 
 
-@query("SELECT doc_id, instr(lower(text), 'quarter') AS at_char, (length(lower(text)) - length(replace(lower(text), 'quarter', ''))) // 7 AS hits FROM documents WHERE text IS NOT NULL")
-def f14_e24_e25_locate(spark, at):
-    """Where a word stands in a text and how often."""
-    t = F.lower("text")
-    return load(spark, at, "documents", "doc_id", "text").where("text IS NOT NULL").select("doc_id", F.instr(t, "quarter").cast("bigint").alias("at_char"), ((F.length(t) - F.length(F.replace(t, F.lit("quarter"), F.lit("")))) / 7).cast("bigint").alias("hits"))
-
-
 @query("""WITH h AS (SELECT DISTINCT security_id, upper(trim(ticker)) AS t, effective_from AS f, effective_to AS e FROM symbol_history), m AS (SELECT DISTINCT security_id, query_ticker, start_date AS s, coalesce(next_alias_start - 1, end_date) AS x FROM query_mappings)
 SELECT h.security_id, h.t AS ticker, m.query_ticker, strftime(greatest(coalesce(f, s), s), '%Y-%m-%d') AS from_day, strftime(least(coalesce(e, x), x), '%Y-%m-%d') AS to_day FROM h JOIN m ON m.security_id = h.security_id AND coalesce(f, DATE '0001-01-01') <= x AND coalesce(e, DATE '9999-12-31') >= s""")
-def g09_g10_segments(spark, at):
+def g09_segments(spark, at):
     """The parts of intervals that a reviewed window covers."""
     h = load(spark, at, "symbol_history", "security_id", "ticker", "effective_from", "effective_to").select("security_id", F.upper(F.trim("ticker")).alias("ticker"), F.col("effective_from").alias("f"), F.col("effective_to").alias("e")).distinct()
     m = load(spark, at, "query_mappings").select("security_id", "query_ticker", F.col("start_date").alias("s"), F.coalesce(F.date_sub("next_alias_start", 1), "end_date").alias("x")).distinct()
@@ -307,11 +284,16 @@ def g09_g10_segments(spark, at):
     return j.select("security_id", "ticker", "query_ticker", day(F.greatest(F.coalesce("f", "s"), "s")).alias("from_day"), day(F.least(F.coalesce("e", "x"), "x")).alias("to_day"))
 
 
-@query()
+@query("""WITH f AS (SELECT factor_id, md5(concat_ws('|', coalesce(strftime(date, '%Y-%m-%d'), '-'), coalesce(security_id, '-'), coalesce(upper(trim(ticker)), '-'), coalesce(status, '-'), CASE WHEN isfinite(raw_value) THEN CAST(CAST(round(raw_value * 1000000, 0) AS BIGINT) AS VARCHAR) ELSE '-' END)) AS h FROM factor_values)
+SELECT factor_id, count(*) AS rows, CAST(sum(CAST(CAST('0x' || substr(h, 1, 15) AS BIGINT) AS HUGEINT)) AS VARCHAR) AS fingerprint FROM f GROUP BY 1""")
 def g13_fingerprint(spark, at):
-    """Order-independent fingerprint of each factor's rows."""
-    f = load(spark, at, "factor_values", "factor_id", "date", "security_id", "raw_value")
-    return f.groupBy("factor_id").agg(fingerprint(f).alias("fingerprint"))
+    """Order-independent fingerprint of each factor's rows: the sum of a hash of each row's canonical text."""
+    f = load(spark, at, "factor_values", "factor_id", "date", "security_id", "ticker", "status", "raw_value")
+    number = F.when(finite(F.col("raw_value")), F.round(F.col("raw_value") * 1_000_000, 0).cast("bigint").cast("string"))
+    parts = [day("date"), F.col("security_id"), F.upper(F.trim("ticker")), F.col("status"), number]
+    text = F.concat_ws("|", *[F.coalesce(c, F.lit("-")) for c in parts])
+    return f.groupBy("factor_id").agg(F.count(F.lit(1)).alias("rows"), F.sum(F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("decimal(20,0)")).cast("decimal(38,0)").cast("string").alias("fingerprint"))
+
 
 
 @query("""WITH m AS (SELECT DISTINCT generation_id, security_id FROM security_master_snapshots), c AS (SELECT DISTINCT security_id, effective_from AS f, effective_to AS t, source_asof AS k FROM symbol_history), g AS (SELECT DISTINCT generation_id, target_session AS d FROM security_master_generations)
@@ -343,15 +325,6 @@ def e06_e12_timeline(spark, at):
     return steps.select("ticker", "doc_id", "step", F.row_number().over(Window.partitionBy("ticker").orderBy("t", "step", "doc_id")).alias("place"))
 
 
-@query("""WITH d AS (SELECT source, lower(coalesce(lang, 'none')) AS lang, event_date IS NULL AS undated, ticker IS NULL AS nameless FROM documents) SELECT coalesce(source, 'none') AS source, count(*) AS n, array_to_string(list_filter([CASE WHEN count(*) FILTER (undated) > 0 THEN 'UNDATED' END, CASE WHEN count(*) FILTER (nameless) > 0 THEN 'NAMELESS' END, CASE WHEN count(DISTINCT lang) > 5 THEN 'MANY_LANGUAGES' END], lambda x: x IS NOT NULL), ';') AS blockers FROM d GROUP BY 1""")
-def e14_e19_blockers(spark, at):
-    """All codes that hold for each source."""
-    d = load(spark, at, "documents", "source", "lang", "event_date", "ticker")
-    g = d.groupBy(F.coalesce("source", F.lit("none")).alias("source")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("event_date").isNull()).alias("u"), F.count_if(F.col("ticker").isNull()).alias("m"), F.countDistinct(F.lower(F.coalesce("lang", F.lit("none")))).alias("l"))
-    codes = F.array_compact(F.array(F.when(F.col("u") > 0, "UNDATED"), F.when(F.col("m") > 0, "NAMELESS"), F.when(F.col("l") > 5, "MANY_LANGUAGES")))
-    return g.select("source", "n", F.array_join(codes, ";").alias("blockers"))
-
-
 @query(f"""WITH {RET}, k AS (SELECT session_no, security_id, row_number() OVER (PARTITION BY session_no ORDER BY close DESC, security_id) AS r FROM ret WHERE close > 0 AND session_no % 20 = 0), w AS (SELECT session_no, security_id, CAST(0.1 AS DOUBLE) AS w FROM k WHERE r <= 10)
 SELECT coalesce(a.session_no, b.session_no + 20) AS session_no, coalesce(a.security_id, b.security_id) AS security_id, round(coalesce(a.w, 0) - coalesce(b.w, 0), 6) + 0.0 AS delta FROM w a FULL JOIN w b ON b.security_id = a.security_id AND b.session_no = a.session_no - 20 WHERE coalesce(a.w, 0) <> coalesce(b.w, 0)""")
 def g22_l14_weight_changes(spark, at):
@@ -365,9 +338,3 @@ def g22_l14_weight_changes(spark, at):
     return j.select("session_no", "security_id", r6(F.col("d")).alias("delta"))
 
 
-@query(f"""WITH {BARS_SQL} SELECT security_id, session_no, CASE WHEN close IS NULL THEN 'NO_PRICE' WHEN close / lag(close) {LAG} - 1 >= 0.04 THEN 'STRONG' WHEN close / lag(close) {LAG} - 1 >= 0.02 THEN 'WATCH' ELSE 'BELOW' END AS grade FROM bars WHERE close > 0""")
-def st11_st15_st23_grades(spark, at):
-    """A grade of each move by thresholds."""
-    b = bars(spark, at, "close").where("close > 0")
-    gap = F.col("close") / F.lag("close").over(series.by_security()) - 1
-    return b.select("security_id", "session_no", F.when(gap >= 0.04, "STRONG").when(gap >= 0.02, "WATCH").otherwise("BELOW").alias("grade"))

@@ -38,7 +38,7 @@ z AS (SELECT *, (x - avg(x) OVER g) / nullif(stddev_samp(x) OVER g, 0) AS z FROM
 
 
 @query(f"""WITH {FACTORS} SELECT security_id, session_no, factor_id, round(raw, 6) + 0.0 AS raw, round(z, 6) + 0.0 AS clean, rank() OVER (PARTITION BY factor_id, session_no ORDER BY round(z * dir, 9) DESC) AS rank FROM z WHERE z IS NOT NULL""")
-def c01_factor_block(spark, at, month_ends=False):
+def c01_registered_factors(spark, at, month_ends=False):
     """From bars to ranked factors: registered factors over one panel, clipped, standardised and ranked by their sign; of every session, or of each month's last one."""
     from tidemark.plans.base import sessions
 
@@ -63,28 +63,6 @@ def l08_l12_execution_costs(spark, at):
     return o.select("security_id", "session_no", r6(portfolio.slippage_bps(q, v)).alias("slippage"), r6(portfolio.commission(q, p)).alias("fee"), portfolio.fillable(q, v).cast("double").alias("filled"), portfolio.affordable(F.lit(10_000.0), p).cast("double").alias("affordable"))
 
 
-RULES = [
-    ("LEGAL_NOTICE", r"lawsuit|class action|investigation"),
-    ("EARNINGS", r"reports? .{0,20}quarter results|reported revenue|earnings"),
-    ("DEAL", r"acquire|acquisition|merger"),
-    ("GUIDANCE", r"outlook|now expects|guidance"),
-]
-
-
-@query("SELECT doc_id, CASE " + " ".join(f"WHEN regexp_matches(lower(coalesce(text, '')), '{p}') THEN '{k}'" for k, p in RULES) + " ELSE 'UNKNOWN' END AS label FROM documents")
-def e01_first_match(spark, at):
-    """The first of several patterns that a text holds."""
-    return load(spark, at, "documents", "doc_id", "text").select("doc_id", fn.first_match(F.col("text"), RULES, "UNKNOWN").alias("label"))
-
-
-@query("""SELECT document_id, count(*) AS revisions, date_diff('second', min(published_at), min(observed_at)) AS first_delay, date_diff('second', min(published_at), max(observed_at)) AS last_delay FROM documents GROUP BY 1""")
-def e09_e13_latency(spark, at):
-    """Revisions of each document and the time from its publication to their observation."""
-    d = load(spark, at, "documents", "document_id", "published_at", "observed_at")
-    s = lambda c: F.unix_seconds(F.date_trunc("second", c))
-    return d.groupBy("document_id").agg(F.count(F.lit(1)).alias("revisions"), (s(F.min("observed_at")) - s(F.min("published_at"))).alias("first_delay"), (s(F.max("observed_at")) - s(F.min("published_at"))).alias("last_delay"))
-
-
 @query("""WITH k AS (SELECT *, row_number() OVER (PARTITION BY ticker, event_date, kind ORDER BY observed_at, doc_id) AS n FROM documents WHERE ticker IS NOT NULL AND event_date IS NOT NULL) SELECT doc_id, ticker, kind FROM k WHERE n = 1""")
 def e08_st17_first_per_key(spark, at):
     """One document per ticker, day and kind: the first to be seen."""
@@ -122,7 +100,7 @@ def f01_f03_f04_names(spark, at):
 
 
 @query("SELECT doc_id, sha256(coalesce(document_id, chr(0)) || chr(31) || coalesce(kind, chr(0))) AS digest FROM documents")
-def f05_f15_f16_digest(spark, at):
+def f05_digest(spark, at):
     """Stable ids of rows."""
     return load(spark, at, "documents", "doc_id", "document_id", "kind").select("doc_id", fn.digest(F.col("document_id"), F.col("kind")).alias("digest"))
 
@@ -134,14 +112,6 @@ def f06_f07_json(spark, at):
     return e.select("event_id", F.col("p.k").alias("k"), F.col("p.missing").isNull().alias("absent"))
 
 
-@query(r"SELECT doc_id, list_transform(regexp_extract_all(coalesce(text, ''), '([0-9]+(?:\.[0-9]+)?) million', 1), lambda x: CAST(x AS DOUBLE))::VARCHAR AS amounts FROM documents")
-def f12_extract_amounts(spark, at):
-    """All amounts of millions in a text."""
-    found = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"([0-9]+(?:\.[0-9]+)?) million"), F.lit(1))
-    texts = F.transform(found, lambda x: x.cast("double").cast("string"))
-    return load(spark, at, "documents", "doc_id", "text").select("doc_id", F.concat(F.lit("["), F.array_join(texts, ", "), F.lit("]")).alias("amounts"))
-
-
 @query(f"WITH {RET}, k AS (SELECT security_id, session_no, adj_close / nullif(lag(adj_close, 5) {LAG}, 0) - 1 AS a, adj_close / nullif(lag(adj_close, 20) {LAG}, 0) - 1 AS b FROM panel) SELECT security_id, session_no, round(CASE WHEN a > -1 AND b > -1 AND b <> 0 THEN ln(1 + a) / ln(1 + b) END, 3) + 0.0 AS share, CASE WHEN b >= 0.1 THEN 'STRONG' WHEN b >= 0 THEN 'UP' WHEN b IS NOT NULL THEN 'DOWN' END AS label FROM k WHERE b IS NULL OR abs(b) > 0.001")
 def f17_f18_shares(spark, at):
     """Share of the last five sessions in the change of twenty, and a banded label."""

@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 
-import numpy as np
 from pyspark.sql import SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators import series, xsec
 from tidemark.operators.bars import accepted
 from tidemark.plans.base import BARS_SQL, PANEL_SQL, bars, panel, r6, sessions
-from tidemark.scale import finite, scratch_dir
+from tidemark.scale import broadcast_if_bounded, finite, scratch_dir
 from tidemark.sources.tables import load
 from tidemark.sources.versions import NotPublished, VersionedTable
 
@@ -44,7 +43,7 @@ G = "OVER (PARTITION BY grp ORDER BY session_no{})"
 q AS (SELECT grp, session_no, amount, breadth, product(1 + coalesce(g, 0)) {G.format('')} / product(1 + coalesce(b, 0)) {G.format('')} AS q FROM g LEFT JOIN b USING (session_no)),
 f AS (SELECT *, q / lag(q, 5) {G.format('')} - 1 AS rs5, q / lag(q, 20) {G.format('')} - 1 AS rs20, amount / nullif(avg(amount) {G.format(' ROWS 19 PRECEDING')}, 0) AS amount_ratio, breadth - lag(breadth, 5) {G.format('')} AS breadth_change FROM q)
 SELECT grp, session_no, {r('q', 'ratio')}, {r('rs5', 'rs5')}, {r('rs20', 'rs20')}, {r('amount_ratio', 'amount_ratio')}, {r('breadth_change', 'breadth_change')} FROM f""")
-def w20_w30_c07_relative_strength(spark, at):
+def w20_relative_strength(spark, at):
     """Each group's compounded return against that of all, its changes, turnover and breadth, in one pass over the groups."""
     ret = panel(spark, at, "adj_close", "close", "volume").withColumn("ret", series.change("adj_close")).withColumn("grp", F.right("security_id", F.lit(1)))
     b = ret.where("ret IS NOT NULL").groupBy("session_no").agg(F.avg("ret").alias("b"))
@@ -60,29 +59,37 @@ def w20_w30_c07_relative_strength(spark, at):
 
 @query(f"""WITH {BARS_SQL}, t AS (SELECT a.security_id, a.session_no, min(b.session_no) AS at_no FROM bars a JOIN bars b ON b.security_id = a.security_id AND b.session_no BETWEEN a.session_no + 1 AND a.session_no + 6 AND (b.high >= a.close * 1.02 OR b.low <= a.close * 0.96) WHERE a.close > 0 GROUP BY ALL)
 SELECT outcome, count(*) AS n FROM (SELECT CASE WHEN at_no IS NULL THEN 'none' WHEN b.high >= a.close * 1.02 AND b.low <= a.close * 0.96 THEN 'both' WHEN b.high >= a.close * 1.02 THEN 'up' ELSE 'down' END AS outcome FROM bars a LEFT JOIN t USING (security_id, session_no) LEFT JOIN bars b ON b.security_id = a.security_id AND b.session_no = at_no WHERE a.close > 0) GROUP BY 1""")
-def a42_st21_follow_through(spark, at):
+def a42_follow_through(spark, at):
     """How often a target or a stop comes first within six sessions."""
     df = panel(spark, at, "high", "low", "close")
     t = series.first_touch(df, ["close"], F.col("close") * 1.02, F.col("close") * 0.96, "high", "low", 6).where("close > 0")
     return t.groupBy(F.col("touch").alias("outcome")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+@query(f"""WITH {RET}, x AS (SELECT row_number() OVER (ORDER BY session_no) - 1 AS i, count(*) OVER () AS n, m FROM (SELECT session_no, avg(ret) AS m FROM ret GROUP BY 1 HAVING count(ret) > 0)),
+d AS (SELECT b, j * 10 + k AS place, (CAST('0x' || substr(md5(b || '-' || j), 1, 12) AS BIGINT) + k) % n AS i, n FROM (SELECT DISTINCT n FROM x), (SELECT unnest(range(500)) AS b), (SELECT unnest(range(10)) AS k), LATERAL (SELECT unnest(range((n + 9) // 10)) AS j)),
+r AS (SELECT b, avg(m) AS mean FROM d JOIN x USING (i) WHERE place < d.n GROUP BY 1) SELECT {r('quantile_cont(mean, 0.025)', 'low')}, (SELECT {r('avg(m)', 'mean')} FROM x) AS mean, {r('quantile_cont(mean, 0.975)', 'high')} FROM r HAVING count(*) > 0""")
 def a33_block_bootstrap(spark, at):
-    """An interval of a mean by circular blocks: the series has a value per session of the calendar, so the driver may hold it."""
+    """An interval of a mean by circular blocks of ten: 500 replicates whose blocks start where a hash of their number says, so that it is the same every time."""
     ret = panel(spark, at, "adj_close").withColumn("ret", series.change("adj_close"))
-    rows = ret.groupBy("session_no").agg(F.avg("ret").alias("m")).where("m IS NOT NULL").orderBy("session_no").collect()
-    x = np.array([row["m"] for row in rows])
-    if not len(x):
-        return spark.createDataFrame([], "low double, mean double, high double")
-    starts = np.random.default_rng(11).integers(0, len(x), (500, -(-len(x) // 10)))
-    means = x[(starts[:, :, None] + np.arange(10)) % len(x)].reshape(500, -1)[:, : len(x)].mean(axis=1)
-    return spark.createDataFrame([(float(np.quantile(means, 0.025)), float(x.mean()), float(np.quantile(means, 0.975)))], "low double, mean double, high double")
+    # a row per session of the calendar
+    whole = Window.partitionBy()
+    x = ret.groupBy("session_no").agg(F.avg("ret").alias("m")).where("m IS NOT NULL")
+    x = x.select((F.row_number().over(whole.orderBy("session_no")) - 1).cast("bigint").alias("i"), F.count(F.lit(1)).over(whole).alias("n"), "m")
+    drawn = x.select("n").distinct().select("n", F.explode(F.sequence(F.lit(0), F.lit(499))).alias("b"))
+    drawn = drawn.select("n", "b", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") + 9) / 10) - 1)).alias("j"))
+    start = F.conv(F.substring(F.md5(F.concat_ws("-", F.col("b").cast("string"), F.col("j").cast("string"))), 1, 12), 16, 10).cast("bigint")
+    drawn = drawn.select("n", "b", "j", start.alias("_s"), F.explode(F.sequence(F.lit(0), F.lit(9))).alias("k"))
+    drawn = drawn.where("j * 10 + k < n").select("b", ((F.col("_s") + F.col("k")) % F.col("n")).alias("i"))
+    means = drawn.join(broadcast_if_bounded(x.select("i", "m")), "i").groupBy("b").agg(F.avg("m").alias("mean"))
+    edge = means.agg(r6(F.percentile("mean", 0.025)).alias("low"), r6(F.percentile("mean", 0.975)).alias("high"), F.count(F.lit(1)).alias("_n")).where("_n > 0")
+    # one row each
+    return edge.join(F.broadcast(x.agg(r6(F.avg("m")).alias("mean")))).select("low", "mean", "high")
 
 
 @query(f"""WITH {RET}, s AS (SELECT *, close / nullif(lag(close, 20) {LAG}, 0) - 1 AS score FROM ret), k AS (SELECT session_no, security_id, score, lead(ret) {LAG} AS next, rank() OVER (PARTITION BY session_no ORDER BY score DESC NULLS LAST) AS rank, ntile(5) OVER (PARTITION BY session_no, score IS NULL ORDER BY score, security_id) AS grp FROM s)
 SELECT session_no, security_id, {r('score', 'score')}, rank, grp, {r('next / count(*) OVER (PARTITION BY session_no, grp)', 'contribution')} FROM k WHERE score IS NOT NULL""")
-def l18_l19_l20_c16_replay(spark, at):
+def c16_ranking(spark, at):
     """Per decision day and security: score, rank, group and contribution to the group's next return; filtered by day or security it answers both."""
     s = panel(spark, at, "adj_close", "close").withColumn("ret", series.change("adj_close")).withColumns({"score": series.change("close", 20), "next": F.lead("ret").over(series.by_security())})
     s = s.where("score IS NOT NULL")
@@ -154,19 +161,9 @@ def e17_zipped_arrays(spark, at):
     return z.select("o_custkey", (F.col("i") + 1).cast("bigint").alias("place"), F.col("z.k").alias("orderkey"), F.col("z.p").alias("price")).where("price > 200000")
 
 
-@query("""WITH a AS (SELECT * FROM documents WHERE observed_at < TIMESTAMP '2025-07-01'), b AS (SELECT * FROM documents WHERE observed_at >= (SELECT max(observed_at) FROM a) - INTERVAL 24 HOUR), u AS (SELECT doc_id FROM a UNION SELECT doc_id FROM b) SELECT doc_id FROM u""")
-def e21_e11_st16_incremental(spark, at):
-    """A second pull that overlaps the first by a day, each document kept once."""
-    d = load(spark, at, "documents", "doc_id", "observed_at")
-    a = d.where(F.col("observed_at") < F.lit("2025-07-01").cast("timestamp_ntz"))
-    seen = a.agg(F.max("observed_at").alias("m"))
-    b = d.join(F.broadcast(seen), F.col("observed_at") >= F.col("m") - F.expr("INTERVAL 24 HOURS")).drop("m")
-    return a.unionByName(b).select("doc_id").distinct()
-
-
 @query("""WITH p AS (SELECT security_id, date, close, ingestion_run_id FROM coverage_bars WHERE source_asof < DATE '2026-01-01' AND isfinite(close)), k AS (SELECT security_id, date, arg_max(close, ingestion_run_id) AS a FROM p GROUP BY ALL), n AS (SELECT security_id, date, arg_max(close, ingestion_run_id) AS b FROM coverage_bars WHERE isfinite(close) GROUP BY ALL)
 SELECT strftime(date, '%Y-%m') AS month, count(*) FILTER (a IS NOT NULL AND a IS DISTINCT FROM b) AS changed, count(*) FILTER (a IS NULL) AS added FROM n LEFT JOIN k USING (security_id, date) GROUP BY 1""")
-def g08_c12_certify(spark, at):
+def g08_certify(spark, at):
     """In which months a later delivery differs from what was known at the turn of the year."""
     c = load(spark, at, "coverage_bars", "security_id", "date", "close", "ingestion_run_id", "source_asof").where(finite(F.col("close")))
     k = accepted(c.where("source_asof < DATE '2026-01-01'"), ("security_id", "date"), ("ingestion_run_id",), ("close",)).withColumnRenamed("close", "a")
@@ -231,15 +228,6 @@ def proj19_reindex(spark, at):
     return axis.join(b, ["security_id", "session_no"], "left").groupBy("security_id").agg(F.count(F.lit(1)).alias("slots"), F.count("close").alias("filled"))
 
 
-@query(f"""WITH {BARS_SQL}, q AS (SELECT security_id, min(session_no) AS f FROM bars GROUP BY 1), m AS (SELECT date, security_id, ticker, active FROM (SELECT DISTINCT ON (security_id) date, security_id, ticker, active FROM pit_membership WHERE security_id IS NOT NULL ORDER BY security_id, date, knowledge_date, ticker, active))
-SELECT security_id, CASE WHEN m.date IS NULL THEN 'NEW' WHEN CAST(f AS BIGINT) <= 5 THEN 'FROM_START' ELSE 'LATER' END AS state FROM q LEFT JOIN m USING (security_id)""")
-def g11_s04_first_membership(spark, at):
-    """Whether a security with bars was in the universe, and from when its bars run."""
-    q = bars(spark, at, "close").groupBy("security_id").agg(F.min("session_no").alias("f"))
-    m = load(spark, at, "pit_membership", "security_id", "date").where("security_id IS NOT NULL").groupBy("security_id").agg(F.min("date").alias("d"))
-    return q.join(m, "security_id", "left").select("security_id", F.when(F.col("d").isNull(), "NEW").when(F.col("f") <= 5, "FROM_START").otherwise("LATER").alias("state"))
-
-
 @query(f"""WITH {RET}, b AS (SELECT session_no, adj_close FROM panel WHERE security_id = (SELECT any_value(security_id) FROM coverage_bars WHERE ticker = 'QBMK')), x AS (SELECT session_no, adj_close / nullif(lag(adj_close) OVER (ORDER BY session_no), 0) - 1 AS m FROM b)
 SELECT security_id, session_no, {r('ret - m', 'excess')} FROM ret JOIN x USING (session_no) WHERE ret IS NOT NULL AND m IS NOT NULL""")
 def j25_benchmark_excess(spark, at):
@@ -253,7 +241,7 @@ def j25_benchmark_excess(spark, at):
 
 @query("""WITH f AS (SELECT DISTINCT date, security_id, factor_id, status, pit_member, raw_value FROM factor_values) SELECT factor_id, count(*) AS rows, count(*) - count(DISTINCT (date, security_id)) AS repeated, count(*) FILTER (NOT isfinite(raw_value)) AS not_finite, count(*) FILTER (status NOT IN ('VALID', 'NOT_MEMBER', 'INSUFFICIENT_HISTORY')) AS bad_status,
   count(*) FILTER (status = 'VALID' AND NOT coalesce(pit_member, true)) AS contradictions FROM f GROUP BY 1""")
-def g12_a17_observation_checks(spark, at):
+def g12_observation_checks(spark, at):
     """All checks of the observations of each factor in one aggregate."""
     f = load(spark, at, "factor_values", "date", "security_id", "factor_id", "status", "pit_member", "raw_value").distinct()
     some = lambda c: F.count_if(F.coalesce(c, F.lit(False)))

@@ -121,13 +121,6 @@ def st04_st10_latest_per_slot(spark, at):
     return e.groupBy("user_id", F.date_trunc("hour", "ts").alias("b")).agg(F.max_by("value", F.struct("ts", "event_id")).alias("value")).select("user_id", text("b"), "value")
 
 
-@query("""WITH d AS (SELECT *, max(value) OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen FROM events) SELECT event_id FROM d WHERE seen IS NULL OR value > seen""")
-def st20_upgrades(spark, at):
-    """Events that exceed all that their user has had on the day."""
-    w = Window.partitionBy("user_id", F.to_date("ts")).orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, -1)
-    return _events(spark, at).withColumn("seen", F.max("value").over(w)).where("seen IS NULL OR value > seen").select("event_id")
-
-
 @query("SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS n, count(DISTINCT user_id) AS users, round(quantile_cont(value, 0.95), 6) + 0.0 AS p95, round(avg(CASE WHEN event_type = 'purchase' THEN 1.0 ELSE 0 END), 6) + 0.0 AS share FROM events GROUP BY 1")
 def st22_a43_g18_day_rollup(spark, at):
     """Counts, the 95th percentile and a share per day."""
@@ -162,7 +155,7 @@ c AS (SELECT *, CASE WHEN raw IS NOT NULL AND raw = lag(raw) {LAG} THEN raw END
 
 
 @query(f"WITH {STATE} SELECT security_id, session_no, raw, last_value(sure IGNORE NULLS) OVER (PARTITION BY security_id ORDER BY session_no ROWS UNBOUNDED PRECEDING) AS state FROM c")
-def w31_w32_w33_states(spark, at):
+def w31_states(spark, at):
     """Quadrants with dead bands, confirmed by two sessions in a row."""
     k = panel(spark, at, "adj_close").withColumns({"x": series.change("adj_close", 20), "y": series.change("adj_close", 5)})
     q = k.withColumn("raw", states.quadrant(F.col("x"), F.col("y"), 0.005, 0.002))

@@ -192,7 +192,7 @@ def x21_relative_strength(spark, at):
 
 
 @query(", m AS (SELECT max(day) AS day FROM fv) SELECT security_id, factor_id, round(clean, 6) + 0.0 AS clean FROM fv JOIN m USING (day) WHERE clean IS NOT NULL AND factor_id = 'MOM_1M' ORDER BY clean DESC, security_id LIMIT 20")
-def x22_o04_top_pool(spark, at):
+def x22_top_pool(spark, at):
     """The twenty strongest of the latest date (a top-k report)."""
     df = factors(spark, at)
     latest = df.agg(F.max("day").alias("day"))

@@ -72,3 +72,40 @@ def running_state(events: DataFrame, key: str, time: str, value: str, watermark:
     out, kept = f"{key} {kind}, n long, total double, best double", "n long, total double, best double"
     rows = events.withWatermark(time, watermark).select(key, time, value)
     return rows.groupBy(key).applyInPandasWithState(update, out, kept, "update", GroupStateTimeout.NoTimeout)
+
+
+def session_fold(events: DataFrame, key: list[str], row: str, time: str, value: str, volume: str, opening: int, noon: int, watermark: str = "2 days") -> DataFrame:
+    """(key, n, high, low, last, volume, vwap, range_high, range_low, noon_volume) per session, updated by each micro-batch.
+
+    ``key`` names a session, whose rows are bounded by what one instrument sends in it. The state holds these
+    rows by their id: rows that only add are folded on, a row that is revised or comes late is put in its place
+    and the session is folded anew, so the result never depends on the order of delivery. ``opening`` and
+    ``noon`` are hours: the end of the opening range, and up to where the volume profile counts.
+    """
+
+    def update(keys: tuple, frames: Iterator, state) -> Iterator:
+        import pandas as pd
+
+        ids, times, values, volumes = (list(x) for x in state.get) if state.exists else ([], [], [], [])
+        rows = {i: (t, x, v) for i, t, x, v in zip(ids, times, values, volumes, strict=True)}
+        for f in frames:
+            micros = f[time].astype("datetime64[us]").astype("int64")
+            for i, t, x, v in zip(f[row], micros, f[value], f[volume], strict=True):
+                if x == x:
+                    rows[int(i)] = (int(t), float(x), int(v))
+        ordered = sorted((t, i, x, v) for i, (t, x, v) in rows.items())
+        state.update(([i for _, i, _, _ in ordered], [t for t, *_ in ordered], [x for _, _, x, _ in ordered], [v for *_, v in ordered]))
+        if not ordered:
+            return
+        hour = lambda t: t // 3_600_000_000 % 24
+        early = [x for t, _, x, _ in ordered if hour(t) < opening]
+        total = sum(v for *_, v in ordered)
+        out = {c: [k] for c, k in zip(key, keys, strict=True)}
+        out |= {"n": [len(ordered)], "high": [max(x for _, _, x, _ in ordered)], "low": [min(x for _, _, x, _ in ordered)], "last": [ordered[-1][2]], "volume": [total], "vwap": [sum(x * v for _, _, x, v in ordered) / total]}
+        out |= {"range_high": [max(early) if early else None], "range_low": [min(early) if early else None], "noon_volume": [sum(v for t, _, _, v in ordered if hour(t) < noon)]}
+        yield pd.DataFrame(out).astype({"range_high": "float64", "range_low": "float64"})
+
+    types = dict(events.dtypes)
+    schema = ", ".join(f"{c} {types[c]}" for c in key) + ", n long, high double, low double, last double, volume long, vwap double, range_high double, range_low double, noon_volume long"
+    rows = events.withWatermark(time, watermark).select(*key, row, time, value, volume)
+    return rows.groupBy(*key).applyInPandasWithState(update, schema, "ids array<bigint>, times array<bigint>, xs array<double>, volumes array<bigint>", "update", GroupStateTimeout.NoTimeout)
