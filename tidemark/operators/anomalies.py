@@ -340,8 +340,8 @@ def judged_rows(
     and positive, ``activity`` finite and not negative). Runs are counted over the accepted rows (greatest
     ``order`` per source and day) with activity above 0. Rows of ``quarantined`` are not judged for runs.
     A row without a usable base, and one without a source, can only be impossible or stuck. A source whose
-    scale is unknown or 0 has no spikes. Repeated rows come out once. With ``everything``, all rows come out;
-    the reason ``unusual`` means that the forest finds a reading suspect, whether or not it breaks a limit.
+    scale is unknown or 0 has no spikes. Repeated rows come out once. With ``everything``, all rows of
+    a source come out; the reason ``unusual`` means that the forest finds a reading suspect, whether or not it breaks a limit.
     """
     order = list(order)
     positive = F.lit(True)
@@ -381,7 +381,8 @@ def judged_rows(
     kinds = ("impossible", "spike", "stuck", *(("unusual",) if everything else ()))
     names = F.array_compact(F.array(*[F.when(F.col(f"_{r}"), r) for r in kinds]))
     return (
-        found.select(
+        found.where(F.col("_source").isNotNull() | F.col("_impossible"))
+        .select(
             F.when(F.col("_origin") == 0, origins[0]).otherwise(origins[1]).alias("origin"),
             "_source",
             F.date_from_unix_date("_day").alias("_date"),

@@ -20,6 +20,7 @@ from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.scale import scratch_dir
 from tidemark.sources.versions import delete_file, list_names, read_text, write_text
@@ -184,7 +185,9 @@ class RollingState:
         text = read_text(self.spark, f"{self.root}/versions/{at}.json")
         if text is None:
             raise ValueError(f"there is no version {at}")
-        rows = self.spark.read.parquet(f"{self.root}/{json.loads(text)['folder']}")
+        stored = json.loads(text)
+        # a state without rows has no files to tell its schema
+        rows = self.spark.read.schema(T.StructType.fromJson(stored["schema"])).parquet(f"{self.root}/{stored['folder']}")
         totals, live = _names(self.windows, self.measures), _amount(self.windows, self.measures)
         return State(at, rows.where("_what = 'total'").select("_entity", *totals), rows.where("_what = 'live'").select("_entity", "_pos", *live))
 
@@ -192,7 +195,7 @@ class RollingState:
         folder = f"rows/{state.at}-{uuid4().hex}"
         both = state.totals.withColumn("_what", F.lit("total")).unionByName(state.live.withColumn("_what", F.lit("live")), allowMissingColumns=True)
         both.write.partitionBy("_what").parquet(f"{self.root}/{folder}")
-        write_text(self.spark, f"{self.root}/versions/{state.at}.json", json.dumps({"folder": folder}))
+        write_text(self.spark, f"{self.root}/versions/{state.at}.json", json.dumps({"folder": folder, "schema": json.loads(both.schema.json())}))
         return self.load(state.at)
 
     def advance_to(self, arrivals: DataFrame, to: int) -> State:
