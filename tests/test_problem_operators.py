@@ -158,9 +158,11 @@ def test_periods_equal_brute_force(spark, days):
     rows += [("open", None, day(3)), ("open", day(4), None), ("left", None, day(0)), ("left", day(2), day(2)), ("all", None, None), (None, day(0), day(1)), ("edge", dt.date(1899, 12, 30), dt.date(1900, 1, 1)), ("edge", dt.date(1900, 1, 2), dt.date(2101, 5, 5))]
     df = spark.createDataFrame(rows * 2, "e string, a date, b date")
     shards = intervals.Shards(days, dt.date(2024, 1, 1) if days < 99 else dt.date(1900, 1, 1), dt.date(2026, 1, 1) if days < 99 else dt.date(2100, 1, 1))
-    got = intervals.periods_and_gaps(intervals.merged_periods(df, "e", "a", "b", shards)).collect()
     epoch = dt.date(1970, 1, 1)
-    assert Counter((r["_entity"], r["kind"], epoch + dt.timedelta(r["_from"]), epoch + dt.timedelta(r["_to"])) for r in got) == Counter(brute_periods(rows))
+    # every entity of two rows and more by shards, some, and none
+    for rows_per_task in (1, 30, 20_000):
+        got = intervals.periods_and_gaps(intervals.merged_periods(df, "e", "a", "b", shards, rows_per_task)).collect()
+        assert Counter((r["_entity"], r["kind"], epoch + dt.timedelta(r["_from"]), epoch + dt.timedelta(r["_to"])) for r in got) == Counter(brute_periods(rows))
 
 
 def test_last_known_matches_each_attribute_by_itself(spark):
