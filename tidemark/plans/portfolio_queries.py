@@ -178,3 +178,20 @@ def l14_l15_orders_within_cash(spark, at):
     b = o.withColumns({"cash": 5000 + F.coalesce(sold, F.lit(0.0)), "spent": F.coalesce(spent, F.lit(0.0))})
     filled = F.when((F.col("want") == 0) | F.col("price").isNull() | (F.col("price") <= 0), 0).when(F.col("want") < 0, F.col("want")).otherwise(F.greatest(F.least("want", F.floor((F.col("cash") - F.col("spent")) / F.col("price"))), F.lit(0)))
     return b.select("session_no", "security_id", F.col("want").cast("double").alias("ordered"), filled.cast("double").alias("filled"))
+
+
+@query(f"""WITH {PANEL_SQL}, f AS (SELECT security_id, session_no, close, close / nullif(lag(close, 20) {LAG}, 0) - 1 AS mom, lead(open) {LAG} AS open1, lead(volume) {LAG} AS vol1 FROM panel),
+o AS (SELECT *, CASE WHEN mom > 0 THEN 1 ELSE -1 END AS side, floor(50000 / close) AS quantity FROM f WHERE session_no % {STEP} = 0 AND mom IS NOT NULL AND close > 0),
+x AS (SELECT *, CASE WHEN open1 > 0 THEN least(quantity, greatest(floor(coalesce(vol1, 0) * 0.025), 0)) ELSE 0 END AS filled, 2.0 + 0.1 * power(least(coalesce(quantity / nullif(vol1, 0), 0.025), 0.025), 2) * 10000 AS bps FROM o), p AS (SELECT *, CASE WHEN filled > 0 THEN open1 * (1 + side * bps / 10000) END AS price FROM x)
+SELECT security_id, session_no, side, quantity, filled, CASE WHEN filled = 0 THEN 'NONE' WHEN filled < quantity THEN 'PARTIAL' ELSE 'FULL' END AS state, quantity > coalesce(vol1, 0) * 0.025 AS breach, round(bps, 5) + 0.0 AS slippage_bps, {r('price', 'price')}, round(CASE WHEN filled > 0 THEN least(greatest(filled * 0.005, 1), filled * price * 0.01) END, 5) + 0.0 AS per_share_fee, round(CASE WHEN filled > 0 THEN filled * price * 0.0005 END, 5) + 0.0 AS value_fee FROM p""")
+def l03_l09_l10_executions(spark, at):
+    """Order rows executed at the next open: the quantity its volume allows, slippage on the side's price, two forms of fees, and whether the order breaks the limit."""
+    w = S.by_security()
+    f = panel(spark, at, "open", "close", "volume").withColumns({"mom": S.change("close", 20), "open1": F.lead("open").over(w), "vol1": F.lead("volume").over(w)})
+    o = f.where(f"session_no % {STEP} = 0 AND mom IS NOT NULL AND close > 0").withColumns({"side": F.when(F.col("mom") > 0, 1).otherwise(-1), "quantity": F.floor(50000 / F.col("close")).cast("double")})
+    x = o.withColumns({"filled": F.when(F.col("open1") > 0, portfolio.fillable(F.col("quantity"), F.col("vol1"))).otherwise(0.0), "bps": portfolio.slippage_bps(F.col("quantity"), F.col("vol1"))})
+    some = F.col("filled") > 0
+    p = x.withColumn("price", F.when(some, F.col("open1") * (1 + F.col("side") * F.col("bps") / 10000)))
+    state = F.when(F.col("filled") == 0, "NONE").when(F.col("filled") < F.col("quantity"), "PARTIAL").otherwise("FULL")
+    fee = F.when(some, portfolio.commission(F.col("filled"), F.col("price")))
+    return p.select("security_id", "session_no", "side", "quantity", "filled", state.alias("state"), (F.col("quantity") > F.coalesce("vol1", F.lit(0.0)) * 0.025).alias("breach"), (F.round("bps", 5) + 0.0).alias("slippage_bps"), r6(F.col("price")).alias("price"), (F.round(fee, 5) + 0.0).alias("per_share_fee"), (F.round(F.when(some, F.col("filled") * F.col("price") * 0.0005), 5) + 0.0).alias("value_fee"))

@@ -411,3 +411,59 @@ def s12_k07_k11_published_bundle(spark, at):
         rows = v.read(contract[n]).agg(F.count(F.lit(1)).alias("rows")).select(F.lit(n).alias("dataset"), F.lit(contract[n]).alias("version"), "rows", F.lit(v.manifest(contract[n]) is not None).alias("pinned"))
         found = rows if found is None else found.unionByName(rows)
     return found
+
+
+@query(f"""WITH {LEDGER}, m AS (SELECT security_id, max_by({{'t': upper(trim(current_ticker)), 's': upper(trim(trading_status))}}, (updated_at, upper(trim(current_ticker)))) AS m FROM security_master_snapshots WHERE security_id IS NOT NULL AND updated_at IS NOT NULL AND current_ticker IS NOT NULL GROUP BY 1)
+SELECT m.security_id, m.m.t AS ticker, m.m.s AS status FROM m WHERE security_id IN (SELECT security_id FROM mem WHERE date = (SELECT max(date) FROM sn))""")
+def s04_current_universe(spark, at):
+    """The master's rows of current members: the predicate is a semi join with the last snapshot."""
+    mem, snaps = _snapshots(spark, at)
+    now = mem.join(F.broadcast(snaps.agg(F.max("date").alias("date"))), "date", "left_semi").select("security_id")
+    up = lambda c: F.upper(F.trim(c))
+    s = load(spark, at, "security_master_snapshots", "security_id", "current_ticker", "trading_status", "updated_at").dropna(subset=["security_id", "current_ticker", "updated_at"])
+    m = s.groupBy("security_id").agg(F.max(F.struct("updated_at", up("current_ticker").alias("t"), up("trading_status").alias("s"))).alias("m"))
+    return m.join(now, "security_id", "left_semi").select("security_id", F.col("m.t").alias("ticker"), F.col("m.s").alias("status"))
+
+
+@query("""WITH d AS (SELECT doc_id, document_id, coalesce(kind, 'UNKNOWN') AS family, published_at, observed_at, timezone('UTC', CAST(event_date + 8 AS TIMESTAMP)) AS cutoff, row_number() OVER (PARTITION BY document_id ORDER BY observed_at NULLS LAST, doc_id) AS n FROM documents WHERE doc_id IS NOT NULL),
+r AS (SELECT *, concat_ws(';', CASE WHEN published_at IS NULL OR observed_at IS NULL OR cutoff IS NULL THEN 'NO_CLOCK' END, CASE WHEN observed_at < published_at THEN 'ORDER' END, CASE WHEN greatest(published_at, observed_at) > cutoff THEN 'AFTER_CUTOFF' END, CASE WHEN published_at < cutoff - INTERVAL 7 DAY THEN 'OLD' END, CASE WHEN n > 1 THEN 'REPEATED' END) AS reasons FROM d)
+SELECT family, doc_id, reasons = '' AS kept, reasons FROM r""")
+def g21_context_families(spark, at):
+    """Documents of each family as context for their event: clocks in order, known by the cutoff, not older than a week, each once; with the reasons against the others."""
+    d = load(spark, at, "documents", "doc_id", "document_id", "kind", "published_at", "observed_at", "event_date").where("doc_id IS NOT NULL")
+    n = F.row_number().over(Window.partitionBy("document_id").orderBy(F.col("observed_at").asc_nulls_last(), "doc_id"))
+    d = d.withColumns({"cutoff": F.date_add("event_date", 8).cast("timestamp"), "n": n})
+    p, o, c = F.col("published_at"), F.col("observed_at"), F.col("cutoff")
+    reasons = F.concat_ws(";", F.when(p.isNull() | o.isNull() | c.isNull(), "NO_CLOCK"), F.when(o < p, "ORDER"), F.when(F.greatest(p, o) > c, "AFTER_CUTOFF"), F.when(p < c - F.expr("INTERVAL 7 DAYS"), "OLD"), F.when(F.col("n") > 1, "REPEATED"))
+    return d.select(F.coalesce("kind", F.lit("UNKNOWN")).alias("family"), "doc_id", reasons.alias("reasons")).select("family", "doc_id", (F.col("reasons") == "").alias("kept"), "reasons")
+
+
+@query("""WITH a AS (SELECT DISTINCT date, security_id, upper(trim(ticker)) AS ticker, asset_type_pass, CASE WHEN isfinite(adv20_usd) THEN adv20_usd END AS size FROM eligibility_audit WHERE date IS NOT NULL AND security_id IS NOT NULL), k AS (SELECT *, row_number() OVER (PARTITION BY date, security_id ORDER BY size DESC NULLS LAST, ticker, asset_type_pass) AS n FROM a),
+r AS (SELECT *, CASE WHEN n > 1 THEN 'REPEATED' WHEN NOT coalesce(asset_type_pass, false) THEN 'ASSET_KIND' WHEN size IS NULL OR size <= 0 THEN 'NO_WEIGHT' END AS excluded FROM k)
+SELECT strftime(date, '%Y-%m-%d') AS day, security_id, round(CASE WHEN excluded IS NULL THEN size / sum(CASE WHEN excluded IS NULL THEN size END) OVER (PARTITION BY date) END, 8) + 0.0 AS weight, excluded FROM r""")
+def g20_holdings(spark, at):
+    """Holdings of each date in one form: other asset kinds, repeated lines and lines without a weight are listed as excluded, the weights of the others are shares of their sum."""
+    a = load(spark, at, "eligibility_audit", "date", "security_id", "ticker", "asset_type_pass", "adv20_usd").dropna(subset=["date", "security_id"])
+    a = a.select("date", "security_id", F.upper(F.trim("ticker")).alias("ticker"), "asset_type_pass", F.when(finite(F.col("adv20_usd")), F.col("adv20_usd")).alias("size")).distinct()
+    n = F.row_number().over(Window.partitionBy("date", "security_id").orderBy(F.col("size").desc_nulls_last(), F.col("ticker").asc_nulls_last(), F.col("asset_type_pass").asc_nulls_last()))
+    why = F.when(F.col("n") > 1, "REPEATED").when(~F.coalesce("asset_type_pass", F.lit(False)), "ASSET_KIND").when(F.col("size").isNull() | (F.col("size") <= 0), "NO_WEIGHT")
+    r_ = a.withColumn("n", n).withColumn("excluded", why).withColumn("_in", F.when(F.col("excluded").isNull(), F.col("size")))
+    return r_.select(day("date").alias("day"), "security_id", (F.round(F.col("_in") / F.sum("_in").over(Window.partitionBy("date")), 8) + 0.0).alias("weight"), "excluded")
+
+
+@query(f"""WITH {PANEL_SQL}, b AS (SELECT session_no, right(security_id, 1) AS grp, avg(adj_close) AS c FROM panel WHERE adj_close > 0 GROUP BY ALL), m AS (SELECT session_no, avg(c) AS mc FROM b GROUP BY 1), q AS (SELECT b.*, c / mc AS q FROM b JOIN m USING (session_no)),
+k AS (SELECT *, q / lag(q, 20) OVER w - 1 AS rs20, CASE WHEN q > lag(q) OVER w THEN 1 ELSE 0 END AS beat, ln(q / lag(q, 5) OVER w) AS l5, ln(q / lag(q, 20) OVER w) AS l20 FROM q WINDOW w AS (PARTITION BY grp ORDER BY session_no)),
+r AS (SELECT *, rank() OVER (PARTITION BY session_no ORDER BY rs20 DESC) AS rank FROM k WHERE rs20 IS NOT NULL), t AS (SELECT *, lag(rank, 5) OVER w AS rank_5, lag(rank, 20) OVER w AS rank_20, sum(beat) OVER (PARTITION BY grp ORDER BY session_no ROWS 19 PRECEDING) AS days FROM r WINDOW w AS (PARTITION BY grp ORDER BY session_no))
+SELECT session_no, grp, rank, rank_5, rank_20, rank_20 - rank AS climbed, CAST(days AS BIGINT) AS outperformed, round(CASE WHEN abs(l20) > 0.001 THEN l5 / l20 END, 3) + 0.0 AS share_5, CASE WHEN rank_20 IS NULL THEN 'NEW' WHEN rank <= 3 AND rank_5 <= 3 AND rank_20 <= 3 THEN 'PERSISTENT' WHEN rank <= 3 AND rank_20 > 3 THEN 'RISEN' WHEN rank > 3 AND rank_20 <= 3 THEN 'FALLEN' ELSE 'OUTSIDE' END AS persistence FROM t""")
+def w34_rotation_timeline(spark, at):
+    """Rank of each basket by its twenty-session strength now and at earlier offsets, its change, the sessions it outperformed, the share of the last five sessions in its move, and how lasting it is."""
+    b = panel(spark, at, "adj_close").where("adj_close > 0").groupBy("session_no", F.right("security_id", F.lit(1)).alias("grp")).agg(F.avg("adj_close").alias("c"))
+    q = b.withColumn("q", F.col("c") / F.avg("c").over(Window.partitionBy("session_no")))
+    w = Window.partitionBy("grp").orderBy("session_no")
+    ago = lambda n: F.lag("q", n).over(w)
+    k = q.withColumns({"rs20": F.col("q") / ago(20) - 1, "beat": F.when(F.col("q") > ago(1), 1).otherwise(0), "l5": F.ln(F.col("q") / ago(5)), "l20": F.ln(F.col("q") / ago(20))}).where("rs20 IS NOT NULL")
+    k = k.withColumn("rank", F.rank().over(Window.partitionBy("session_no").orderBy(F.col("rs20").desc())))
+    t = k.withColumns({"rank_5": F.lag("rank", 5).over(w), "rank_20": F.lag("rank", 20).over(w), "days": F.sum("beat").over(w.rowsBetween(-19, 0))})
+    top = F.col("rank") <= 3
+    lasting = F.when(F.col("rank_20").isNull(), "NEW").when(top & (F.col("rank_5") <= 3) & (F.col("rank_20") <= 3), "PERSISTENT").when(top & (F.col("rank_20") > 3), "RISEN").when(~top & (F.col("rank_20") <= 3), "FALLEN").otherwise("OUTSIDE")
+    return t.select("session_no", "grp", "rank", "rank_5", "rank_20", (F.col("rank_20") - F.col("rank")).alias("climbed"), F.col("days").alias("outperformed"), (F.round(F.when(F.abs("l20") > 0.001, F.col("l5") / F.col("l20")), 3) + 0.0).alias("share_5"), lasting.alias("persistence"))

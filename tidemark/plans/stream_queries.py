@@ -183,16 +183,6 @@ def w40_o05_cups(spark, at):
     return c.select("security_id", "left", "right", r6(F.col("depth")).alias("depth"), (F.round("score", 4) + F.lit(0.0)).alias("score"))
 
 
-@query(f"""WITH {STATE}, r AS (SELECT session_no, security_id, rank() OVER (PARTITION BY session_no ORDER BY x DESC) AS r FROM k WHERE x IS NOT NULL)
-SELECT a.session_no, a.security_id, a.r AS rank, b.r - a.r AS climbed FROM r a LEFT JOIN r b ON b.security_id = a.security_id AND b.session_no = a.session_no - 5""")
-def w34_timeline(spark, at):
-    """Rank of each session's 20-session change and how far it has climbed in five sessions."""
-    k = panel(spark, at, "adj_close").withColumn("x", series.change("adj_close", 20)).where("x IS NOT NULL")
-    r = k.select("session_no", "security_id", F.rank().over(Window.partitionBy("session_no").orderBy(F.col("x").desc())).alias("rank"))
-    past = r.select((F.col("session_no") + 5).alias("session_no"), "security_id", F.col("rank").alias("_p"))
-    return r.join(past, ["session_no", "security_id"], "left").select("session_no", "security_id", "rank", (F.col("_p") - F.col("rank")).alias("climbed"))
-
-
 @query(f"WITH {BARS_SQL}, t AS (SELECT security_id, list(close) OVER (PARTITION BY security_id ORDER BY session_no ROWS 9 PRECEDING) AS l, session_no FROM bars WHERE close IS NOT NULL) SELECT security_id, session_no, len(l) AS points, round(list_sum(l), 6) + 0.0 AS total FROM t")
 def w35_trail(spark, at):
     """The last ten points as a list."""
