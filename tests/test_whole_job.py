@@ -10,7 +10,8 @@ import pyarrow.parquet as pq
 import pytest
 
 import __spark_entry__ as entry
-from oracle import duck
+from oracle import difference, duck
+from tidemark.plans import aggregate_queries
 
 QUERIES, SQL = entry.queries(), entry.oracle_sql()
 START = dt.date(2024, 7, 1)
@@ -162,3 +163,20 @@ def test_folds_to_the_end_of_a_long_calendar(spark, tmp_path):
     days = calendar(1550)
     got = rows(spark, "a35_walk_forward", write(tmp_path, trading_sessions=session_rows(days)))
     assert [r["fold"] for r in got] == list(range(1, 16)) and max(r["test_to"] for r in got) == 1550
+
+
+def test_rank_tests_of_a_year_of_millions(spark, small, monkeypatch):
+    n = 3_400_000
+    ids = spark.range(n, numPartitions=8)
+    monkeypatch.setattr(aggregate_queries, "_scores", lambda spark, at: ids.selectExpr("'2025' AS year", "id % 2 = 1 AS y", "CAST(id AS DOUBLE) AS score"))
+    (got,) = rows(spark, "a29_a32_rank_tests", small)
+    p = n // 2
+    u = p * (p + 1) // 2  # the i-th of the odd numbers is above i even ones
+    assert got == {"year": "2025", "p": p, "q": p, "auc": round(u / p**2, 6), "z": pytest.approx((u - p * p / 2) / math.sqrt(p * p * (n + 1) / 12), abs=1e-6)}
+
+
+def test_rank_tests_of_years_with_one_outcome(spark, tmp_path):
+    days = calendar(400)
+    bars = [bar("a", d, 10.0 + i if i < 200 else 2000.0 - i) for i, d in enumerate(days)]  # only up in 2024, only down in 2026
+    at = write(tmp_path, coverage_bars=bars, trading_sessions=session_rows(days))
+    assert difference(spark, QUERIES["a29_a32_rank_tests"], SQL["a29_a32_rank_tests"], at) == ("", 3)

@@ -225,9 +225,14 @@ def a29_a32_rank_tests(spark, at):
     """Area under the ROC curve and the rank-sum statistic, from one set of ranks."""
     k = _scores(spark, at).withColumn("r", xsec.average_rank("score", ["year"]))
     g = k.groupBy("year").agg(F.count_if("y").alias("p"), F.count_if(~F.col("y")).alias("q"), F.sum(F.when(F.col("y"), F.col("r"))).alias("s"))
-    u = F.col("s") - F.col("p") * (F.col("p") + 1) / 2.0
-    pairs = F.col("p") * F.col("q")
-    return g.select("year", "p", "q", r6(u / F.nullif(pairs, F.lit(0))).alias("auc"), r6((u - pairs / 2.0) / F.sqrt(pairs * (F.col("p") + F.col("q") + 1) / 12.0)).alias("z"))
+    # the variance is a product of three counts, beyond a bigint from 3.3 million rows a year
+    p, q = F.col("p").cast("double"), F.col("q").cast("double")
+    u = F.col("s") - p * (p + 1) / 2.0
+    pairs = p * q
+    z = (u - pairs / 2.0) / F.nullif(F.sqrt(pairs * (p + q + 1) / 12.0), F.lit(0.0))
+    # where all of a year's outcomes are alike, SQL divides 0 by 0
+    alike = (pairs == 0) & u.isNotNull()
+    return g.select("year", "p", "q", r6(u / F.nullif(pairs, F.lit(0.0))).alias("auc"), r6(F.when(alike, F.lit(float("nan"))).otherwise(z)).alias("z"))
 
 
 @query(f"""WITH {SCORES}, t AS (SELECT year, score, count(*) FILTER (y) AS tp, count(*) AS n FROM v GROUP BY ALL), c AS (SELECT *, sum(tp) OVER w AS ctp, sum(n) OVER w AS cn, sum(tp) OVER (PARTITION BY year) AS all_p FROM t WINDOW w AS (PARTITION BY year ORDER BY score DESC))
