@@ -294,6 +294,6 @@ _FOLD = """e AS (SELECT user_id, CAST(ts AS DATE) AS d, ts, event_id, value, 1 +
 @query(f"WITH {_FOLD} SELECT user_id, strftime(d, '%Y-%m-%d') AS day, n, {r('high', 'high')}, {r('low', 'low')}, {r('last', 'last')}, CAST(volume AS BIGINT) AS volume, {r('vwap', 'vwap')}, {r('range_high', 'range_high')}, {r('range_low', 'range_low')}, CAST(noon_volume AS BIGINT) AS noon_volume FROM f")
 def st04_st06_session_fold_stream(spark, at):
     """The session fold as a stream: high, low, last, volume, weighted price, opening range and the volume profile per user and day, kept as state. A row delivered again, or late, is put in its place and the day is folded anew."""
-    events = stream.stream_table(spark, at, "events").select("event_id", "user_id", "ts", "value").withColumn("volume", 1 + F.col("event_id") % 5).withColumn("day", day("ts"))
+    events = stream.stream_table(spark, at, "events", delivered=True).select("event_id", "user_id", "ts", "value", *stream.DELIVERED).withColumn("volume", 1 + F.col("event_id") % 5).withColumn("day", day("ts"))
     out = stream.run_to_end(stream.session_fold(events, ["user_id", "day"], "event_id", "ts", "value", "volume", 8, 12), ["user_id", "day"], "update", "fold")
     return out.select("user_id", "day", "n", *[r6(F.col(c)).alias(c) for c in ("high", "low", "last")], "volume", *[r6(F.col(c)).alias(c) for c in ("vwap", "range_high", "range_low")], "noon_volume")
