@@ -84,7 +84,7 @@ def session_fold(events: DataFrame, key: list[str], row: str, time: str, value:
     """(key, n, high, low, last, volume, vwap, range_high, range_low, noon_volume) per session, updated by each micro-batch.
 
     ``key`` names a session, whose rows are bounded by what one instrument sends in it. The state is a built-in
-    aggregate that holds these rows: of a row that is delivered again, what came last by ``delivered`` counts, a
+    aggregate that holds these rows in all their deliveries: what came last by ``delivered`` counts, a
     row that comes late is put in its place, and the session is folded anew, so the result never depends on how
     rows are spread over batches. Rows without a value take no part. ``opening`` and ``noon`` are hours: the end
     of the opening range, and up to where the volume profile counts. Fold and state stay in the JVM: a call of
